@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from . import unit_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**unit_queries.QUERIES}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "q_hybrid_search"
