@@ -223,4 +223,7 @@ def text_statistics(df: DataFrame, text: str = "text", pairs: DataFrame | None =
         for texts in parts:
             yield pd.DataFrame([statistics(t, m) for t in texts], columns=STATS.fieldNames())
 
+    # else a filter on the result would be pushed below and have the texts examined twice
+    stats = stats.asNondeterministic()
+
     return df.withColumn("_s", stats(F.col(text))).select(*[F.col(c) for c in df.columns], "_s.*")
