@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table, written
-from . import canonical, conversations, encoding, mixing, packing, quality, tokens
+from . import canonical, conversations, encoding, mixing, packing, quality, scans, tokens
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,22 @@ def p2_clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.clock_offsets(conversations.sequence(t)).select("sender", F.round("offset_s", 6).alias("offset_s"), "violated")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = table(spark, sf_dir, "tm_chunks").select("chunk_id", "text", "source_file", "page_number")
+    return scans.damage(t)["found"].select("chunk_id", "defect")
+
+
+def p4_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair(table(spark, sf_dir, "tm_chunks").select("chunk_id", "text", "source_file", "page_number"))
+
+
+def p4_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the stored hint agrees with the damage found: chunks by hint and defect."""
+    found = p4_found(spark, sf_dir)
+    hint = table(spark, sf_dir, "chunks").groupBy("chunk_id").agg(F.min("has_text_layer").alias("has_text_layer"))
+    return found.join(hint, "chunk_id").groupBy("defect", "has_text_layer").agg(F.count("*").alias("chunks"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     equipment, chunks = table(spark, sf_dir, "vessel_equipment"), table(spark, sf_dir, "tm_chunks").select("chunk_id", "equipment_model")
     makers, catalog = table(spark, sf_dir, "manufacturer_list"), table(spark, sf_dir, "equipment_catalog")
@@ -108,7 +124,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_restored, p1_replacements, p2_found, p2_conversations, p2_verdicts, p2_clock_offsets, p5_found, p5_unmatched, p6_found, p6_blocks, p6_fill, p7_mixture, p7_shares, p8_found, p8_statistics)
+    for f in (p1_found, p1_restored, p1_replacements, p2_found, p2_conversations, p2_verdicts, p2_clock_offsets, p4_found, p4_repaired, p4_text_layer, p5_found, p5_unmatched, p6_found, p6_blocks, p6_fill, p7_mixture, p7_shares, p8_found, p8_statistics)
 }
 
 ORACLE_SQL: dict[str, str] = {}
