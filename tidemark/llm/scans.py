@@ -43,9 +43,11 @@ CONFUSION_COST = 0.3
 _COST = dict.fromkeys(CONFUSIONS, CONFUSION_COST)
 _JOIN = re.compile(r"(?<=[^\W\d_])[-‐­¬][ \t]*\n[ \t]*(?=[a-zß-ÿ])")
 # a word takes in what a wrong decoding left inside it, else its ends would look like words
-_WORD = re.compile(r"(?:[\w@]|[^\x00-\x7f\s–—‘’“”„…«»‐\xad¬·°²³½¼¾×±§])+(?:['’][a-z]{1,2}\b)?")
+_WORD = re.compile(r"[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬·°²³½¼¾×±§_]+(?:['’][a-z]{1,2}\b)?")
+_LINE_HYPHEN = re.compile(r"[-‐\xad¬][ \t]*\n\s*")
 _PLAIN_CODE = re.compile(r"^(?:\d+|[A-Z\d]+|\d+[a-zA-Z]{1,3}|[a-zA-Z]\d+)$")
-_BREAK = re.compile(r"([^\W\d_][\w@]*|[\w@]*[^\W\d_])([-‐­¬])[ \t]*\n[ \t]*([^\W_][\w@]*)")
+_BEFORE = re.compile(r"([^\W\d_][\w@]*|[\w@]*[^\W\d_])$")
+_AFTER = re.compile(r"[^\W_][\w@]*")
 _PAGE_END = re.compile(r"(?<![\w-])([a-zß-ÿ@\d]{2,}|[A-Z][a-zß-ÿ@\d]+)([-‐­¬])[ \t]*$")
 _NUMBERED = re.compile(
     r"^\W{0,4}(?:\d{1,4}|[ivxlc]{1,7})\W{0,4}$|^\d{1,4}\s*/\s*\d{1,4}$|^\d{1,3}[-–]\d{1,4}$|^\d{1,4}\s*\|\s*\S.{0,17}$|^(?P<w>[^\W\d][\w@1]{2,5}|[pPsS]|5eite)\.?\s*\d{1,4}(?:\s*(?:of|/|von|de|av|0f|ot)\s*\d{1,4})?$"
@@ -71,18 +73,48 @@ def prepared(text: str) -> str:
     return text if text.isascii() else _BROKEN.sub(lambda m: _WHOLE[m.group()], text)
 
 
+def joined(text: str) -> str:
+    return _JOIN.sub("", text) if _LINE_HYPHEN.search(text) else text
+
+
+def as_counted(w: str) -> str | None:
+    """A word as it is counted: in lower case unless its case tells something; None for numbers and codes."""
+    if w.isupper() and len(w) <= 3:
+        return w
+    if w.isalpha() and (w.islower() or w.isupper() or w.istitle()):
+        return w.lower()
+    if _PLAIN_CODE.match(w) or w == "@":
+        return None
+    return w[0].lower() + w[1:] if not re.search("[A-Z]{2}", w) else w.lower()
+
+
 def words_of(text: str) -> list[str]:
-    """Words as counted: broken words joined; numbers and codes left out; a word's case kept only inside."""
+    """Words as counted: broken words joined; numbers and codes left out."""
+    return [x for w in _WORD.findall(joined(text)) if (x := as_counted(w))]
+
+
+class Rare(dict):
+    """Word as written -> word as counted if it is to be looked up, else None. Kept for words already seen."""
+
+    def __init__(self, common: frozenset):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, w: str) -> str | None:
+        if len(self) > 500_000:
+            self.clear()
+        x = as_counted(w)
+        got = self[w] = None if x is None or x in self.common or len(x) < 2 else x
+        return got
+
+
+def breaks(text: str) -> list[tuple[str, str, str]]:
+    """(part before, hyphen, part after) of words that end a line at a hyphen and go on in lower case."""
     out = []
-    for w in _WORD.findall(_JOIN.sub("", text)):
-        if w.isupper() and len(w) <= 3:
-            out.append(w)
-        elif w.isalpha() and (w.islower() or w.isupper() or w.istitle()):
-            out.append(w.lower())
-        elif _PLAIN_CODE.match(w) or w == "@":
-            continue
-        else:
-            out.append(w[0].lower() + w[1:] if not re.search("[A-Z]{2}", w) else w.lower())
+    for m in _LINE_HYPHEN.finditer(text):
+        a, b = _BEFORE.search(text, max(0, m.start() - 40), m.start()), _AFTER.match(text, m.end())
+        if a and b and (b.group()[0].islower() or b.group()[0].isdigit()):
+            out.append((a.group(), m.group()[0], b.group()))
     return out
 
 
@@ -91,21 +123,20 @@ def page_lines(text: str) -> list[tuple[str, bool]]:
     lines = [s for x in text.split("\n") if (s := x.strip())]
     if len(lines) < 2:
         return []
-    top = lines[:2]
-    return [(x, True) for x in top] + [(x, False) for x in lines[max(2, len(lines) - 2) :]]
+    return [(x, True) for x in lines[:2]] + [(x, False) for x in lines[max(2, len(lines) - 2) :]]
 
 
 def numbers_page(line: str) -> bool:
-    m = _NUMBERED.match(line)
+    m = _NUMBERED.match(line) if len(line) <= 26 else None
     return bool(m) and (m.group("w") is None or look_alike(m.group("w")) in _NUMBER_WORDS)
 
 
 def header_form(line: str) -> str | None:
     """The form by which a line is compared from page to page; None for lines that read like sentences or rows."""
-    if len(line) > 80 or len(line) < 4 or _NO_HEADER.search(line) or numbers_page(line):
+    if not 4 <= len(line) <= 80 or line[-1] in ".;:,?!":
         return None
-    words = re.findall(r"[\w@&]{2,}", line)
-    if not words or sum(w[0].islower() for w in words) * 4 > len(words) or line[-1] in ".;:,?!":
+    words = [w for w in line.split() if len(w) > 1]
+    if not words or sum(w[0].islower() for w in words) * 4 > len(words) or _NO_HEADER.search(line) or numbers_page(line):
         return None
     form = re.sub(r"[^\w]+", "", look_alike(line))
     return form if len(form) >= 4 else None
@@ -118,13 +149,16 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
         total: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(total.keys()), pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "n"])
+            words: Counter = Counter()
+            for w, n in total.items():
+                if x := as_counted(w):
+                    words[x] += n
             total.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(list(words.keys()), pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                total.update(words_of(prepared(t)))
+                total.update(_WORD.findall(joined(prepared(t))))
             if len(total) > 300_000:
                 yield flush()
         yield flush()
@@ -201,36 +235,40 @@ def signs(df: DataFrame, skip: set[str], key: str, text: str, file: str) -> Data
     held = df.sparkSession.sparkContext.broadcast(frozenset(skip))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = held.value
+        rare = Rare(held.value)
         for batch in batches:
             out: list[tuple] = []
             for k, t, f in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 t = prepared(t)
                 edges = page_lines(t)
-                numbered = [numbers_page(x) for x, _ in edges]
-                if any(numbered):
+                marks = [numbers_page(x) for x, _ in edges]
+                forms = [None if n else header_form(x) for (x, _), n in zip(edges, marks)]
+                if any(marks):
                     out.append((k, "page_number", None, None, None))
-                for (x, _), n in zip(edges, numbered):
-                    if not n and (form := header_form(x)):
-                        out.append((k, "header", f, form, x))
-                for a, h, b in _BREAK.findall(t):
-                    if not b[0].islower() and not b[0].isdigit() and b[0] != "@":
-                        continue
-                    joined, compound = (a + b).lower(), f"{a}-{b}".lower()
-                    if h != "-":
-                        out.append((k, "hyphenation", None, None, None))
-                    else:
-                        out.append((k, "hyphen", joined, compound, b.lower()))
-                lines = [x for x in t.split("\n") if x.strip()]
-                body = [x for i, x in enumerate(lines) if not (i in (len(lines) - 2, len(lines) - 1) and (numbers_page(x.strip()) or header_form(x.strip())))]
-                if body and (m := _PAGE_END.search(body[-1])) and not (len(body) > 1 and body[-1].strip() == m.group()):
-                    out.append((k, "hyphenation" if m.group(2) != "-" else "page_end", m.group(1).lower(), None, None))
-                elif body and (m := _PAGE_END.search(body[-1])):
+                out += [(k, "header", f, form, x) for (x, _), form in zip(edges, forms) if form]
+                whole = t
+                if _LINE_HYPHEN.search(t):
+                    for a, h, b in breaks(t):
+                        if h != "-":
+                            out.append((k, "hyphenation", None, None, None))
+                        else:
+                            out.append((k, "hyphen", (a + b).lower(), f"{a}-{b}".lower(), b.lower()))
+                    whole = _JOIN.sub("", t)
+                # the last line of the page's own text, with footers left out, may end in a broken word
+                foot = [x for x, top in edges if not top]
+                below = [bool(n or form) for (_, top), n, form in zip(edges, marks, forms) if not top]
+                last = next((x for x, is_foot in zip(foot[::-1], below[::-1]) if not is_foot), None)
+                if last is None and len(edges) > 1:
+                    tail = [x for x in t.split("\n") if x.strip()]
+                    last = tail[-1 - len(foot)] if len(tail) > len(foot) else None
+                if last and last[-1] in "-‐\xad¬" and (m := _PAGE_END.search(last)):
                     out.append((k, "hyphenation" if m.group(2) != "-" else "page_end", m.group(1).lower(), None, None))
-                seen = words_of(t)
+                seen = _WORD.findall(whole)
                 for i, w in enumerate(seen):
-                    if w not in common and len(w) > 1:
-                        out.append((k, "word", w, seen[i - 1] if i else None, seen[i + 1] if i + 1 < len(seen) else None))
+                    x = rare[w]
+                    if x is not None:
+                        before, after = (as_counted(seen[i - 1]) if i else None), (as_counted(seen[i + 1]) if i + 1 < len(seen) else None)
+                        out.append((k, "word", x, before, after))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string()) for i in range(5)], names=SIGNS.fieldNames())
 
     return df.select(F.col(key).cast("string"), text, file).where(F.length(text) > 0).mapInArrow(look, SIGNS)
@@ -341,6 +379,8 @@ def repaired_text(text: str, heads: set[str], fixes: dict[str, str]) -> str:
         return good.upper() if w.isupper() and len(w) > 1 else good[0].upper() + good[1:] if w[0].isupper() else good
 
     t = _WORD.sub(swap, t)
+    t = re.sub(r"(?<=[.!?:]) [~'`] +(?=[A-ZÄÖÅØÉ])", " ", t)  # specks between sentences
+    t = re.sub(r"(?m)^(\d+(?:\.\d+)+ [A-Z][^\n]{2,60})\n(?!\n)", r"\1\n\n", t)
     paragraphs = []
     for block in re.split(r"\n\s*\n", t):
         rows = [x.rstrip() for x in block.split("\n") if x.strip()]
