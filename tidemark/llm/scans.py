@@ -43,7 +43,7 @@ CONFUSION_COST = 0.3
 _COST = dict.fromkeys(CONFUSIONS, CONFUSION_COST)
 _JOIN = re.compile(r"(?<=[^\W\d_])[-‐­¬][ \t]*\n[ \t]*(?=[a-zß-ÿ])")
 # a word takes in what a wrong decoding left inside it, else its ends would look like words
-_WORD = re.compile(r"[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬·°²³½¼¾×±§_]+(?:['’][a-z]{1,2}\b)?")
+_WORD = re.compile(r"[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬_]+(?:['’][a-z]{1,2}\b)?")
 _LINE_HYPHEN = re.compile(r"[-‐\xad¬][ \t]*\n\s*")
 _PLAIN_CODE = re.compile(r"^(?:\d+|[A-Z\d]+|\d+[a-zA-Z]{1,3}|[a-zA-Z]\d+)$")
 _BEFORE = re.compile(r"([^\W\d_][\w@]*|[\w@]*[^\W\d_])$")
