@@ -23,16 +23,36 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _rate(letters: Column, pairs: tuple[str, ...]) -> Column:
+    # the letters of a pair differ, so its occurrences never overlap and taking them out counts them
+    left = [F.length(letters) - F.length(F.replace(letters, F.lit(p), F.lit(""))) for p in pairs]
+    hits = sum(left[1:], left[0]) / 2
+    return F.when(F.length(letters) < LEAST_LETTERS, F.lit(0.0)).otherwise(hits / (F.length(letters) - 1))
+
+
+def _letters(text: Column) -> Column:
+    return F.regexp_replace(F.lower(text), "[^a-z]", "")
+
+
 def pair_rate(text: Column) -> Column:
     """Share of adjacent ASCII letter pairs that are among the commonest twenty; 0 for fewer than 20 letters."""
-    letters = F.regexp_replace(F.lower(text), "[^a-z]", "")
-    hits = F.regexp_count(letters, F.lit(f"(?={'|'.join(COMMON_PAIRS)})"))
-    return F.when(F.length(letters) < LEAST_LETTERS, F.lit(0.0)).otherwise(hits / (F.length(letters) - 1))
+    return _bound(_letters(text), lambda x: _rate(x, COMMON_PAIRS))
 
 
 def is_real_language(text: Column) -> Column:
-    ahead, back = pair_rate(text), pair_rate(F.reverse(text))
-    return F.when(ahead >= LANGUAGE_RATE, True).when((back >= LANGUAGE_RATE) & (back > REVERSED_FACTOR * ahead), False).otherwise(True)
+    """False for text that reads backwards: few common pairs, and more than twice as many in reverse."""
+
+    def rule(r: Column) -> Column:
+        return F.when(r["ahead"] >= LANGUAGE_RATE, True).when((r["back"] >= LANGUAGE_RATE) & (r["back"] > REVERSED_FACTOR * r["ahead"]), False).otherwise(True)
+
+    turned = tuple(p[::-1] for p in COMMON_PAIRS)
+    rates = _bound(_letters(text), lambda x: F.struct(_rate(x, COMMON_PAIRS).alias("ahead"), _rate(x, turned).alias("back")))
+    return _bound(rates, rule)
 
 
 def meaningful_length(text: Column) -> Column:
