@@ -62,5 +62,5 @@ def recency(day: Column, today: Column) -> Column:
 def search_texts(t: DataFrame, prior: int = 2) -> DataFrame:
     """(id, search_text): each question twice, then up to ``prior`` earlier non-empty questions, oldest first."""
     w = Window.partitionBy("conversation_id").orderBy(*_order()).rowsBetween(-prior, -1)
-    u = t.where("role = 'user' and trim(content) <> ''").withColumn("before", F.collect_list("content").over(w))
+    u = t.where((F.col("role") == "user") & F.col("content").rlike(r"[\p{L}\p{N}]")).withColumn("before", F.collect_list("content").over(w))
     return u.select("id", F.concat_ws(" ", F.concat(F.array("content", "content"), F.col("before"))).alias("search_text"))
