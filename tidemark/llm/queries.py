@@ -127,4 +127,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (p1_found, p1_restored, p1_replacements, p2_found, p2_conversations, p2_verdicts, p2_clock_offsets, p4_found, p4_repaired, p4_text_layer, p5_found, p5_unmatched, p6_found, p6_blocks, p6_fill, p7_mixture, p7_shares, p8_found, p8_statistics)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+# p2_found in SQL: the definition, without blocks or offsets. Patterns are those of the operator.
+_TURNS = f"""
+with m as (select id, lower(regexp_replace(conversation_id, '[\\s{{}}()]', '', 'g')) as conversation_id, lower(regexp_replace(role, '[\\s\\p{{Z}}:]+', '', 'g')) as r, content, created_at from messages where conversation_id is not null),
+o as (select * from (select *, row_number() over (partition by conversation_id, id order by created_at nulls last) as n from m) where n = 1 and conversation_id <> ''),
+s as (select id, conversation_id, content, created_at, case when r in {conversations.USER_NAMES} then 'user' when r in {conversations.ASSISTANT_NAMES} then 'assistant' when r in {conversations.SYSTEM_NAMES} then 'system' end as speaker from o),
+t as (select *, trim(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as words,
+ created_at is not null and speaker is not null and coalesce(regexp_matches(content, '[\\p{{L}}\\p{{N}}]') and not regexp_matches(content, '{conversations.PLACEHOLDER}') and not (length(content) < 160 and regexp_matches(content, '{conversations.FAILURE}')), false) as fit
+ from s where speaker is distinct from 'system'),
+p as (select *, lag(speaker) over w as before, lag(words) over w as said, row_number() over w as i from t window w as (partition by conversation_id order by created_at asc nulls first, id)),
+q as (select *, i > 1 and before is not distinct from speaker and said is not distinct from words as again from p),
+v as (select *, not again and i > 1 and before is not distinct from speaker as broken, sum(case when again then 0 else 1 end) over (partition by conversation_id order by created_at asc nulls first, id rows unbounded preceding) as turn_no from q),
+k as (select conversation_id from v group by 1 having bool_and(fit) and not bool_or(broken) and arg_min(speaker, i) = 'user' and arg_max(speaker, i) = 'assistant')
+select conversation_id, cast(turn_no as int) as turn_no, id from v where not again and conversation_id in (select conversation_id from k)
+"""
+ORACLE_SQL: dict[str, str] = {"p2_found": _TURNS}
