@@ -18,8 +18,21 @@ CHUNK = T.StructType([T.StructField(c, t) for c, t in (("chunk_id", T.StringType
 LEAST_BYTES = 1024
 
 
+def list_names(spark: SparkSession, folder: str, suffix: str = ".pdf") -> DataFrame:
+    """(path, length) of all files below the folder whose name ends so, empty ones too, which a file scan leaves out.
+    Names are listed by the driver, as Spark lists them for any scan; contents are not touched."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    found, rows = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while found.hasNext():
+        f = found.next()
+        if f.getPath().getName().endswith(suffix):
+            rows.append((f.getPath().toString(), int(f.getLen())))
+    return spark.createDataFrame(rows, "path string, length long")
+
+
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
-    """(path, length, modificationTime, content) of all matching files below the folder."""
+    """(path, length, modificationTime, content) of all matching files below the folder that hold anything."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(folder)
 
 
@@ -56,11 +69,11 @@ def extract_pages(files: DataFrame, pages_of: Callable[[bytes], list[str]] = off
     return files.select("path", "content").mapInPandas(extract, PAGES)
 
 
-def validity(files: DataFrame, pages: DataFrame) -> DataFrame:
-    """(path, valid, issue): empty, too small, unreadable or without pages; a warning if the first three of several pages
+def validity(names: DataFrame, pages: DataFrame) -> DataFrame:
+    """(path, valid, issue) of listed names: empty, too small, unreadable or without pages; a warning if the first three of several pages
     have no text."""
     p = pages.groupBy("path").agg(F.max("error").alias("error"), F.count("page_number").alias("pages"), F.sum(F.when(F.col("page_number") <= 3, F.length(F.trim("text"))).otherwise(0)).alias("sample"))
-    j = files.select("path", "length").join(p, "path", "left")
+    j = names.select("path", "length").join(p, "path", "left")
     issue = (
         F.when(F.col("length") == 0, "empty file").when(F.col("length") < LEAST_BYTES, "file too small").when(F.col("error").isNotNull(), F.concat(F.lit("unreadable: "), "error")).when(F.coalesce("pages", F.lit(0)) == 0, "no pages").when((F.col("pages") > 1) & (F.coalesce("sample", F.lit(0)) == 0), "WARNING: no text in the first pages")
     )
