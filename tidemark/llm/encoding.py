@@ -3,7 +3,7 @@
 Method. One pass counts adjacent character pairs over the whole corpus. A pair is scored by the cubic pointwise
 mutual information log2 p(ab)^3 / (p(a) p(b)) (the exponent counters the bias of plain PMI to rare pairs). In each text
 the maximum-scoring segments of the negated score are the improbable runs, and only inside those runs inverse mappings
-are tried:
+are tried (and inside stretches of adjacent non-ASCII characters, which a common garbling makes probable):
 
 * UTF-8 bytes read through a single-byte page: characters are turned back into bytes, and every valid multi-byte
   sequence is a candidate. It is taken if its character is at least as common in the corpus as the garbled pair, or if
@@ -22,7 +22,6 @@ Null text stays null and is not garbled; so does an empty one; repeated rows giv
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -33,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 # Single-byte pages by which UTF-8 text is commonly misread. cp1252 here also takes the C1 controls that
 # Latin-1 has in its gaps, as browsers do.
 PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251")
@@ -159,6 +160,18 @@ HIGH = re.compile(r"[^\x00-\x7f]+")
 MARKS = re.compile("[\x80-\x9f�]")
 
 
+def _tested(text: str, model: PairModel) -> np.ndarray:
+    """Where inverse mappings are tried: the improbable runs, and stretches of adjacent non-ASCII characters, because a
+    garbling that fills a third of the corpus is no longer improbable in it."""
+    inside = np.zeros(len(text), bool)
+    for a, b in improbable_runs(text, model):
+        inside[a:b] = True
+    for m in HIGH.finditer(text):
+        if m.end() - m.start() > 1:
+            inside[m.start() : m.end()] = True
+    return inside
+
+
 def _sequences(text: str, inside: np.ndarray, page: dict[str, int]) -> tuple[list[tuple[int, int, str]], int]:
     """Valid UTF-8 sequences of two to four characters in the runs, and how many characters of the page are in none."""
     found, loose = [], 0
@@ -184,9 +197,7 @@ def _sequences(text: str, inside: np.ndarray, page: dict[str, int]) -> tuple[lis
 
 
 def _undo_utf8(text: str, model: PairModel) -> tuple[str, str]:
-    inside = np.zeros(len(text), bool)
-    for a, b in improbable_runs(text, model):
-        inside[a:b] = True
+    inside = _tested(text, model)
     best: tuple[float, str, list] = (0.0, "", [])
     for name in PAGES:
         found, loose = _sequences(text, inside, _TO_BYTE[name])
@@ -209,9 +220,7 @@ def _undo_utf8(text: str, model: PairModel) -> tuple[str, str]:
 
 def _undo_page(text: str, model: PairModel) -> tuple[str, str]:
     """Characters whose place in another page fits their neighbours far better."""
-    inside = np.zeros(len(text), bool)
-    for a, b in improbable_runs(text, model):
-        inside[a:b] = True
+    inside = _tested(text, model)
     best: tuple[float, str, str] = (0.0, "", text)
     for name in PAGES:
         for source in SINGLE_BYTE_SOURCES:
@@ -276,6 +285,9 @@ def repair_encoding(df: DataFrame, text: str = "text", counts: DataFrame | None
                 rows.append((bool(used) or lost > 0, fixed, used, lost))
             yield pd.DataFrame(rows, columns=["garbled", "restored", "mappings", "lost"])
 
+    # else a filter on the result would be pushed below and have the texts examined twice
+    fix = fix.asNondeterministic()
+
     plain = F.struct(F.lit(False).alias("garbled"), F.col(text).alias("restored"), F.array().cast("array<string>").alias("mappings"), F.lit(0).alias("lost"))
     odd = F.col(text).rlike(r"[^\x00-\x7F]")
     done = df.where(odd).withColumn("_fix", fix(F.col(text))).unionByName(df.where(~odd | odd.isNull()).withColumn("_fix", plain))
@@ -285,7 +297,8 @@ def repair_encoding(df: DataFrame, text: str = "text", counts: DataFrame | None
 def restore_replacement(df: DataFrame, text: str = "restored", key: str = "chunk_id") -> DataFrame:
     """(key, word, original): words with U+FFFD whose original is the only corpus word of that shape, or ten times as
     common as the next. A word's shape is the word with its non-ASCII characters replaced by U+FFFD."""
-    words = df.select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)([\w\x{FFFD}]*[^\x00-\x7F][\w\x{FFFD}]*)"), F.lit(1)))).alias("word"))
+    # one pass over the texts; both sides of the join read what it wrote
+    words = written(df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(key, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"(?U)([\w\x{FFFD}]*[^\x00-\x7F][\w\x{FFFD}]*)"), F.lit(1)))).alias("word")), "words")
     broken = words.where(F.col("word").contains("�"))
     whole = words.where(~F.col("word").contains("�")).groupBy("word").agg(F.count("*").alias("n"))
     shapes = whole.withColumn("shape", F.regexp_replace("word", r"[^\x00-\x7F]", "�"))
