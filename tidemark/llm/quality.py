@@ -57,6 +57,12 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"(?<![^\W_])\d{1,9}(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
+# Marks that ordinary text has.
+_USUAL = "|.,;:-()/'’\"“”…—–•[]+%°"
+_SPACE = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_NOT_ALNUM = bytes(b for b in range(256) if not (chr(b).isalnum() and b < 128))
+_NOT_DIGIT = bytes(b for b in range(256) if not 48 <= b <= 57)
+_NOT_ODD = bytes(b for b in range(128) if chr(b).isalnum() or chr(b) in _USUAL or b in _SPACE)
 _LABEL = re.compile(r"^\s*([^\W\d_][\w .\-/]{0,28}?)\s*[:=]\s*(.{0,60})$")
 _GAP = re.compile(r"\S(?: {2,}|\t+)(?=\S)")
 _BULLET = re.compile(r"^\s*(?:[-*•·–]|\[[ xX]\]|\(?\d{1,3}[.)]|\d+(?:\.\d+)+|[a-z][.)])\s+")
@@ -90,6 +96,32 @@ def letter_pairs(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(text).where(F.length(text) > 0).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+class Readable(dict):
+    """Word -> the letters of it that can be read: all or none. Kept for words already seen."""
+
+    def __init__(self, model: "LetterModel"):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        k = len(w)
+        good = (w.isupper() or w.lower() in COMMON_WORDS) if k <= 2 else k <= 30 and self.model.fit(w) > -5.2
+        got = self[w] = k * good
+        return got
+
+
+class Turned(Readable):
+    """Word -> by how many bits its letters fit better from behind."""
+
+    def __missing__(self, w: str) -> float:
+        if len(self) > 200_000:
+            self.clear()
+        got = self[w] = (self.model.fit(w[::-1]) - self.model.fit(w)) * len(w)
+        return got
+
+
 class LetterModel:
     def __init__(self, pairs, counts):
         n = np.full(LETTERS * LETTERS, 0.5)
@@ -98,6 +130,7 @@ class LetterModel:
         n[27, 27] = 0.5
         self.bits = np.log2(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
         self.known: dict[str, float] = {}
+        self.readable, self.turned = Readable(self), Turned(self)
 
     def fit(self, word: str) -> float:
         """Mean bits of a letter given the one before it, boundaries included; natural words lie above -5."""
@@ -119,7 +152,8 @@ def _autocorrelation(x: np.ndarray, most: int = 12) -> float:
     var = float((x * x).mean())
     if var < 1e-9:
         return 1.0
-    return max(float((x[k:] * x[:-k]).mean()) / var for k in range(1, min(most, len(x) - 2) + 1))
+    n = len(x)
+    return max(float(np.dot(x[k:], x[:-k])) / (n - k) for k in range(1, min(most, n - 2) + 1)) / var
 
 
 def statistics(text: str | None, model: LetterModel) -> tuple:
@@ -128,12 +162,16 @@ def statistics(text: str | None, model: LetterModel) -> tuple:
     lines = [x for x in text.splitlines() if x.strip()]
     words = text.split()
     letters_only = _WORD.findall(text)
-    lower = _WORD.findall(text.lower())
-    tokens = _TOKEN.findall(text)
-    filled = sum(map(len, words))
-    alnum = sum(map(len, tokens))
-    marks = filled - alnum
-    odd = marks - sum(text.count(c) for c in "|.,;:-()/'’\"“”…—–•[]+%°")
+    lower = list(map(str.lower, letters_only))
+    if text.isascii():
+        raw = text.encode()
+        alnum, filled = len(raw.translate(None, _NOT_ALNUM)), len(raw.translate(None, _SPACE))
+        odd = len(raw.translate(None, _NOT_ODD))
+        marks, any_digit = filled - alnum, len(raw.translate(None, _NOT_DIGIT)) > 0
+    else:
+        alnum, filled = sum(map(len, _TOKEN.findall(text))), sum(map(len, words))
+        marks, any_digit = filled - alnum, True
+        odd = marks - sum(map(text.count, _USUAL))
     symbol_ratio = odd / filled
     ends = sum(1 for x in lines if _END.search(x)) / len(lines)
     common = sum(map(COMMON_WORDS.__contains__, lower)) / max(1, len(lower))
@@ -174,21 +212,13 @@ def statistics(text: str | None, model: LetterModel) -> tuple:
     prose_share = prose / max(1, sum(len(x) for x in lines))
 
     # what can be read: words whose letters follow each other as they do in the corpus, and numbers
-    fit, known, readable = model.fit, model.known.get, 0
-    for w in letters_only:
-        k = len(w)
-        if k <= 2:
-            readable += k * (w.isupper() or w.lower() in COMMON_WORDS)
-        elif k <= 30:
-            bits = known(w)
-            readable += k * ((bits if bits is not None else fit(w)) > -5.2)
-    readable += sum(map(len, _NUMBER.findall(text)))
+    readable = sum(map(model.readable.__getitem__, letters_only))
+    if any_digit:
+        readable += sum(map(len, _NUMBER.findall(text)))
     readable_share = readable / max(1, alnum)
     backwards = 0.0
     if len(lower) >= 4 and common < 0.15:
-        ahead = sum(model.fit(w) * len(w) for w in letters_only)
-        turned = sum(model.fit(w[::-1]) * len(w) for w in letters_only)
-        backwards = (turned - ahead) / max(1, sum(map(len, letters_only)))
+        backwards = sum(map(model.turned.__getitem__, letters_only)) / max(1, sum(map(len, letters_only)))
         turned_common = sum(1 for w in lower if w[::-1] in COMMON_WORDS) / len(lower)
         backwards = max(backwards, 1.0 if turned_common > 0.15 and turned_common > 2 * common else 0.0)
 
