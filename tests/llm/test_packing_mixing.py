@@ -66,6 +66,13 @@ def test_shares(spark):
     assert sorted(map(tuple, mix.collect())) == sorted(map(tuple, again.collect()))
 
 
+def test_a_tiny_source_does_not_shrink_the_mixture():
+    most, share = np.array([1000.0, 1.0, 0.0, 500.0]), np.array([0.6, 0.01, 0.1, 0.29])
+    assert mixing.largest_total(most, share, 0.01) == pytest.approx(1000 / 0.6)
+    assert mixing.largest_total(most, share, 0.0) == pytest.approx(100.0)
+    assert mixing.largest_total(np.zeros(2), np.array([0.5, 0.5]), 0.01) == 0.0
+
+
 def test_rates_are_projected_gradient():
     p = np.array([[1.0, 0.0], [0.5, 0.5]])
     r = mixing.rates(p, np.array([1.0, 2.0]), np.array([[2.0, 0.0], [-0.5, 1.0]]))

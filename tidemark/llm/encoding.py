@@ -235,17 +235,22 @@ def _undo_page(text: str, model: PairModel) -> tuple[str, str]:
                     c = _FROM_BYTE[source][b]
                     if c == text[i] or c == "�" or not model.count(c):
                         continue
-                    left, right = (out[i - 1] if i else "\n"), (text[i + 1] if i + 1 < len(text) else "\n")
-                    if ord(right) > 127 and (r := _TO_BYTE[name].get(right)) is not None:
-                        pair = max(model.bits(c, right), model.bits(c, _FROM_BYTE[source][r]))
-                    else:
-                        pair = model.bits(c, right)
-                    gain = model.bits(left, c) + pair - model.bits(text[i - 1] if i else "\n", text[i]) - model.bits(text[i], right)
+                    left, right = (text[i - 1] if i else "\n"), (text[i + 1] if i + 1 < len(text) else "\n")
+                    # neighbours may be changed too: the one before as decided, the one after as it would be
+                    new_left, new_right = (out[i - 1] if i else "\n"), right
+                    if ord(right) > 127 and (r := _TO_BYTE[name].get(right)) is not None and model.pair(c, _FROM_BYTE[source][r]) > model.pair(c, right):
+                        new_right = _FROM_BYTE[source][r]
+                    if not (model.pair(new_left, c) and model.pair(c, new_right)):
+                        continue
+                    before = model.bits(new_left, c) - model.bits(left, text[i])
+                    after = model.bits(c, new_right) - model.bits(text[i], right)
+                    gain = before + after if min(before, after) >= -3 else 0.0
                     if gain >= FORMED_PAIR_BITS:
-                        taken.append((i, c, gain))
+                        taken.append(min(before, after))
                         out[i] = c
                         gained += gain
-            if gained > best[0]:
+            # a lone change that only one neighbour speaks for is no evidence
+            if gained > best[0] and max(taken) >= 1:
                 best = (gained, f"{source}>{name}", "".join(out))
     return best[2], best[1]
 

@@ -8,8 +8,9 @@ equal rates, so they are summed into cells first; a step is one aggregation over
 number for each source) reach the driver. Rates become whole copies by carrying the tokens owed from text to text, so the
 same input gives the same mixture.
 
-The total is the largest one that every source with rows can serve at its share, or ``total_tokens``. A source without
-rows cannot reach its share and is reported with 0. Rows of a named source that is no target take no part. Null and
+The total is the largest one at which only sources whose target shares add up to at most ``shortfall`` (0.01) stay below
+their share, or ``total_tokens``: a source with next to no rows does not shrink the whole mixture. Such a source is used
+up to its bound, and the share it reached is reported, 0 if it has no rows. Rows of a named source that is no target take no part. Null and
 empty texts weigh nothing. Shares reached are counted from the copies.
 """
 
@@ -27,6 +28,8 @@ from ..session import written
 #: Rows of each source that the classifier is fitted on, at most; documented bound of the labelled sample.
 SAMPLE_ROWS = 2_000
 BUCKETS = 1 << 15
+#: Summed target share of the sources that may stay below it.
+SHORTFALL = 0.01
 #: Memberships are rounded to this step to sum rows into cells.
 STEP = 0.05
 
@@ -63,9 +66,10 @@ def memberships(docs: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_R
     spark = docs.sparkSession
     rows = targets.select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats").orderBy("source").collect()  # a table of targets
     names, shares, repeats = [r[0] for r in rows], [float(r[1]) for r in rows], [int(r[2]) for r in rows]
-    t = docs.withColumn("source", source_name(F.col("source"))).where("tokens > 0")
+    t = docs.withColumn("source", source_name(F.col("source")))
     known = t.where(F.col("source").isin(names))
-    prior, table = fit_classifier(known.select("source", "text"), names, sample_rows)
+    # the classifier sees texts, not tokens: rows are tokenized once, and in a stage of its own
+    prior, table = fit_classifier(known.where(F.length("text") > 0).select("source", "text"), names, sample_rows)
     model = spark.sparkContext.broadcast((prior, table))
 
     @F.pandas_udf("array<double>")
@@ -82,12 +86,27 @@ def memberships(docs: DataFrame, targets: DataFrame, sample_rows: int = SAMPLE_R
 
     one = F.array(*[F.when(F.col("source") == k, 1.0).otherwise(0.0) for k in names])
     bound = F.create_map(*[F.lit(x) for k, m in zip(names, repeats) for x in (k, m)])[F.col("source")]
-    named = known.withColumn("p", one).withColumn("bound", bound.cast("double"))
-    unnamed = t.where(F.col("source").isNull()).withColumn("p", posterior(_features(F.col("text")))).withColumn("bound", F.lit(1.0))
-    return named.unionByName(unnamed).drop("text"), names, shares, repeats
-
-
-def fit_rates(cells: DataFrame, shares: list[float], total_tokens: float | None, steps: int = 40) -> tuple[list[np.ndarray], np.ndarray]:
+    sized = written(t.select("doc_id", "source", "tokens").where("tokens > 0"), "mix-tokens")
+    named = sized.where(F.col("source").isin(names)).withColumn("p", one).withColumn("bound", bound.cast("double"))
+    guessed = t.where(F.col("source").isNull() & (F.length("text") > 0)).select("doc_id", posterior(_features(F.col("text"))).alias("p"))
+    unnamed = sized.where(F.col("source").isNull()).join(guessed, "doc_id").withColumn("bound", F.lit(1.0))
+    return named.unionByName(unnamed), names, shares, repeats
+
+
+def largest_total(most: np.ndarray, share: np.ndarray, shortfall: float) -> float:
+    """Tokens of the mixture; most is what each source can give with all its repeats."""
+    passed = 0.0
+    for i in np.argsort(np.where(share > 0, most / np.where(share > 0, share, 1.0), np.inf), kind="stable"):
+        if share[i] <= 0 or most[i] <= 0:
+            continue
+        if passed + share[i] <= shortfall + 1e-9:
+            passed += share[i]
+            continue
+        return float(most[i] / share[i])
+    return 0.0
+
+
+def fit_rates(cells: DataFrame, shares: list[float], total_tokens: float | None, shortfall: float = SHORTFALL, steps: int = 40) -> tuple[list[np.ndarray], np.ndarray]:
     """(residual history, reached tokens): projected gradient over cells (p, bound, tokens)."""
     k = len(shares)
     spark = cells.sparkSession
@@ -96,8 +115,7 @@ def fit_rates(cells: DataFrame, shares: list[float], total_tokens: float | None,
     for r in room:
         most[r["s"]], once[r["s"]] = r["room"], r["once"]
     share = np.array(shares)
-    live = (most > 0) & (share > 0)
-    total = total_tokens or (float((most[live] / share[live]).min()) if live.any() else 0.0)
+    total = total_tokens or largest_total(most, share, shortfall)
     target = share * total
     history: list[np.ndarray] = []
     reached = np.zeros(k)
@@ -117,7 +135,9 @@ def fit_rates(cells: DataFrame, shares: list[float], total_tokens: float | None,
         for r in got:
             reached[r["s"]] = r["a"]
         off = np.where(once > 0, (target - reached) / np.maximum(once, 1.0), 0.0)
-        if step == steps or np.abs(target - reached).max() <= 1e-4 * max(total, 1.0) or len(history) > 3 and np.abs(off - history[-1]).max() < 1e-6:
+        # a source at its bound keeps its residual for good
+        open_ = np.where((reached >= most - 1e-6 * np.maximum(most, 1)) & (target > reached), 0.0, target - reached)
+        if step == steps or np.abs(open_).max() <= 1e-4 * max(total, 1.0):
             break
         history.append(off)
     return history, reached
@@ -154,13 +174,13 @@ def whole_copies(rated: DataFrame, share_size: int = 20_000) -> DataFrame:
     return t.groupBy("source", "lane").applyInPandas(carry, "doc_id long, source string, tokens int, p array<double>, bound double, rate double, copies int")
 
 
-def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, sample_rows: int = SAMPLE_ROWS, shortfall: float = SHORTFALL) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, tokens, rate, copies) for every row with copies > 0, and the report by source."""
     spark = docs.sparkSession
     members, names, shares, repeats = memberships(docs, targets, sample_rows)
     members = written(members.select("doc_id", "source", "tokens", "p", "bound"), "mix-members")
     cells = written(members.groupBy("p", "bound").agg(F.sum("tokens").alias("tokens")), "mix-cells")
-    history, _ = fit_rates(cells, shares, total_tokens)
+    history, _ = fit_rates(cells, shares, total_tokens, shortfall)
     past = spark.sparkContext.broadcast(np.array(history).reshape(-1, len(names)))
 
     @F.pandas_udf("double")
