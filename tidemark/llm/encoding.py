@@ -17,7 +17,8 @@ corpus (see ``restore_replacement``).
 The pair table is bounded: the alphabet has SYMBOLS entries at most, so it never holds more than SYMBOLS^2 counts,
 however large the corpus is. That bound is why it may go through the driver to the workers.
 
-Null text stays null and is not garbled; so does an empty one; repeated rows give repeated results; other columns pass.
+Null text stays null and is not garbled; so does an empty one; repeated rows give repeated results; other columns pass,
+except that columns named like a result are replaced by it.
 """
 
 from __future__ import annotations
@@ -293,6 +294,7 @@ def repair_encoding(df: DataFrame, text: str = "text", counts: DataFrame | None
     # else a filter on the result would be pushed below and have the texts examined twice
     fix = fix.asNondeterministic()
 
+    df = df.drop(*[c for c in df.columns if c.lower() in {*schema.fieldNames(), "_fix"}])
     plain = F.struct(F.lit(False).alias("garbled"), F.col(text).alias("restored"), F.array().cast("array<string>").alias("mappings"), F.lit(0).alias("lost"))
     odd = F.col(text).rlike(r"[^\x00-\x7F]")
     done = df.where(odd).withColumn("_fix", fix(F.col(text))).unionByName(df.where(~odd | odd.isNull()).withColumn("_fix", plain))

@@ -9,7 +9,7 @@ A document is prose if most of its characters stand in sentences; junk if it is
 numbers can be read; otherwise a table if its lines align or its labels repeat, and a list if not.
 
 Null and blank texts get kind 'empty' and zero statistics. Very long texts are read whole. Repeated rows give repeated
-results; other columns pass.
+results; other columns pass, except that columns named like a statistic are replaced by it.
 """
 
 from __future__ import annotations
@@ -256,4 +256,5 @@ def text_statistics(df: DataFrame, text: str = "text", pairs: DataFrame | None =
     # else a filter on the result would be pushed below and have the texts examined twice
     stats = stats.asNondeterministic()
 
+    df = df.drop(*[c for c in df.columns if c.lower() in {*STATS.fieldNames(), "_s"} and c != text])
     return df.withColumn("_s", stats(F.col(text))).select(*[F.col(c) for c in df.columns], "_s.*")
