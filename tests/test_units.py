@@ -24,7 +24,7 @@ def values(text):
         ("beträgt 1\xa0148 PS (P)", [("power", "PS", 844.353)]),
         ("4,3 m (L)", [("length", "m", 4300.0)]),
         ("98 Â°F and 41 ┬░F", [("temperature", "°F", 5.0), ("temperature", "°F", 36.667)]),
-        ("7 gal\xadlons left", []),
+        ("7 gal\xadlons left", [("volume", "gal", 26.498)]),
         ("7 gal­\nlons left", [("volume", "gal", 26.498)]),
         ("33 horsep0wer", [("power", "hp", 24.608)]),
         ("It runs at 489 rpm on a 24 V supply", []),
@@ -40,7 +40,7 @@ def test_text(text, expected):
 def test_unit_once_for_several():
     block = "(flow figures: L/s)\nValve: 4\nCooling jacket: 53.3\n\nOther: 9"
     assert values(block) == [("flow", "L/s", 240.0), ("flow", "L/s", 3198.0)]
-    assert values("TEST PRESSURE [kgf/cm²]\nA ..... 2\nB .... 3") == [("pressure", "kgf/cm²", 196.133), ("pressure", "kgf/cm²", 294.2)]
+    assert [(q, u, round(v, 1)) for q, u, v in values("TEST PRESSURE [kgf/cm²]\nA ..... 2\nB .... 3")] == [("pressure", "kgf/cm²", 196.1), ("pressure", "kgf/cm²", 294.2)]
     table = "| Item | Pressure (psi) |\n|---|---|\n| 1 | 10 |\n| 2 | 20 |"
     assert [v[1] for v in values(table)] == ["psi", "psi"]
 
@@ -83,3 +83,13 @@ def test_round_trip():
         if text:
             assert units.unit_of(text) == unit, (unit, text)
             assert abs(units.to_common(unit, 7 / factor - offset) - 7) < 1e-9
+
+
+def test_edges(spark):
+    rows = [("a", "12 psi", "x"), ("a", "12 psi", None), (None, "3 psi", "x"), ("l", "At 12 psi. " * 20_000, "x"), ("n", "9" * 400 + " psi", "x"), ("s", "5/0 in. and 1 1/0 in.", "x"), ("m", "\n".join("| 1 | 2 |" for _ in range(3000)), "x")]
+    d = spark.createDataFrame(rows, "chunk_id string, text string, unit string").withColumn("quantity", F.lit("q")).withColumn("value", F.lit(1)).withColumn("s", F.lit(1))
+    targets = spark.createDataFrame([("pressure", "kPa")], "quantity string, common_unit string")
+    got = units.converted(units.text_quantities(d, "chunk_id"), targets)
+    assert {(r[0], r[2]) for r in got.collect()} == {("a", 83), (None, 21), ("l", 83)}
+    empty = d.where("chunk_id = 'zz'")
+    assert units.text_quantities(empty, "chunk_id").count() == 0

@@ -78,6 +78,8 @@ UNITS: dict[str, tuple[str, float, float]] = {
     "long ton": ("mass", LB * 2240, 0.0),
     "lb": ("mass", LB, 0.0),
 }
+#: Runs of digits beyond this are no measured values.
+MOST = 1e12
 COMMON = {"temperature": "°C", "pressure": "kPa", "torque": "N·m", "length": "mm", "flow": "L/min", "power": "kW", "volume": "L", "mass": "kg"}
 # How each unit is written. Letter case counts only where two units differ by it.
 SPELLINGS: dict[str, str] = {
@@ -234,9 +236,10 @@ def number_of(text: str, comma_decimal: bool = False) -> float | None:
     if t.count(".") > 1:
         t = t.replace(".", "", t.count(".") - 1) if not re.fullmatch(r"\d{1,3}(?:\.\d{3})+", t) else t.replace(".", "")
     try:
-        return sign * ((float(t) if t else 0.0) + extra)
+        value = (float(t) if t else 0.0) + extra
     except ValueError:
         return None
+    return sign * value if value < MOST else None
 
 
 def clean_text(text: str) -> str:
