@@ -38,12 +38,14 @@ RATIO = 12
 LEAST = 5
 MOST_COST = 1.0
 # What recognition makes of letters, as (right, wrong).
-CONFUSIONS = [("m", "rn"), ("rn", "m"), ("n", "ri"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("ll", "U"), ("o", "0"), ("l", "1"), ("i", "l"), ("i", "1"), ("s", "5"), ("g", "9"), ("a", "@"), ("b", "8"), ("e", "c"), ("t", "f"), ("h", "b"), ("z", "2"), ("q", "9"), ("h", "li"), ("k", "lc"), ("g", "q")]
+CONFUSIONS = [("m", "rn"), ("rn", "m"), ("n", "ri"), ("d", "cl"), ("cl", "d"), ("w", "vv"), ("ll", "U"), ("o", "0"), ("l", "1"), ("i", "l"), ("i", "1"), ("s", "5"), ("g", "9"), ("a", "@"), ("b", "8"), ("e", "c"), ("t", "f"), ("h", "b"), ("z", "2"), ("q", "9"), ("h", "li"), ("k", "lc"), ("g", "q"), ("O", "0")]
 CONFUSION_COST = 0.3
 _COST = dict.fromkeys(CONFUSIONS, CONFUSION_COST)
 _JOIN = re.compile(r"(?<=[^\W\d_])[-‐­¬][ \t]*\n[ \t]*(?=[a-zß-ÿ])")
 # a word takes in what a wrong decoding left inside it, else its ends would look like words
-_WORD = re.compile(r"[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬_]+(?:['’][a-z]{1,2}\b)?")
+_WORD = re.compile(r"[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬_]+(?:&[^\x00-/:-?\[-\^`{-\x7f\s–—‘’“”„…«»‐\xad¬_]+)*(?:['’][a-z]{1,2}\b)?")
+# capitals with a digit or two that look like letters: a word, not a code
+_CAPITALS = re.compile(r"^(?=.{5})(?=(?:[^A-Z]*[A-Z]){3})[A-Z0158]+$")
 _LINE_HYPHEN = re.compile(r"[-‐\xad¬][ \t]*\n\s*")
 _PLAIN_CODE = re.compile(r"^(?:\d+|[A-Z\d]+|\d+[a-zA-Z]{1,3}|[a-zA-Z]\d+)$")
 _BEFORE = re.compile(r"([^\W\d_][\w@]*|[\w@]*[^\W\d_])$")
@@ -79,10 +81,14 @@ def joined(text: str) -> str:
 
 def as_counted(w: str) -> str | None:
     """A word as it is counted: in lower case unless its case tells something; None for numbers and codes."""
+    if "&" in w:
+        return w if len(w) <= 5 else w.lower()
     if w.isupper() and len(w) <= 3:
-        return w
+        return w if w.isalpha() else None
     if w.isalpha() and (w.islower() or w.isupper() or w.istitle()):
         return w.lower()
+    if _CAPITALS.match(w) and sum(map(str.isdigit, w)) <= 2:
+        return w.lower()
     if _PLAIN_CODE.match(w) or w == "@":
         return None
     return w[0].lower() + w[1:] if not re.search("[A-Z]{2}", w) else w.lower()
@@ -218,9 +224,11 @@ def corrections(lexicon: DataFrame, ratio: int = RATIO, least: int = LEAST) -> D
         return pd.Series([confusion_cost(a, b) for a, b in zip(right, wrong)], dtype="float64")
 
     words = lexicon.where(F.length("word") > 1).withColumn("key", F.explode(keys("word")))
-    right = words.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}'’]+$")).select("key", F.col("word").alias("right"), F.col("n").alias("n_right"))
+    right = words.where((F.col("n") >= least) & F.col("word").rlike(r"^[\p{L}'’&]+$")).select("key", F.col("word").alias("right"), F.col("n").alias("n_right"))
     wrong = words.select("key", F.col("word").alias("wrong"), F.col("n").alias("n_wrong"))
-    met = wrong.join(right, "key").where((F.col("n_right") >= F.col("n_wrong") * ratio) & (F.col("wrong") != F.col("right"))).select("wrong", "right", "n_right", "n_wrong").distinct()
+    # a digit inside a word is evidence enough; other words must be far rarer than the right one
+    times = F.when(F.col("wrong").rlike("[0-9@]"), 1).otherwise(ratio)
+    met = wrong.join(right, "key").where((F.col("n_right") >= F.col("n_wrong") * times) & (F.col("wrong") != F.col("right"))).select("wrong", "right", "n_right", "n_wrong").distinct()
     scored = met.withColumn("cost", cost("right", "wrong")).where(F.col("cost") <= MOST_COST)
     least_cost = F.min("cost").over(Window.partitionBy("wrong"))  # a word has few candidates
     return scored.withColumn("least", least_cost).where(F.col("cost") <= F.col("least") + 0.1).drop("least")
