@@ -18,6 +18,7 @@ once. Texts are read whole.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -198,10 +199,13 @@ _UNIT_AFTER = re.compile(r"[\s\xa0]{0,2}(" + _UNIT_TEXT + r")(\.?)(?![\w°²³/]
 _JOIN = re.compile(r"(?<=[a-z])(?:[-‐\xad¬])[ \t]*\n(?=[a-z])")
 _RANGE = re.compile(r"^[\s\xa0]*(?:-|–|—|to|up to|and|bis|hasta|til|a|y|und|og)[\s\xa0]*(?:up to[\s\xa0]+)?[\s\xa0]*$")
 _HEAD = re.compile(r"^[^\n|]*?(?:[\[(](?:[\w ]+:\s*)?(?P<a>[^\[\]()\n]{1,22})[\])]|\b(?:values?|figures?|readings?|[\w ]+ in this block)\s+(?:are|is)\s+(?:given\s+)?in\s+(?P<b>[^\n]{1,22}?))\.?[ \t]*$", re.M)
+# what a heading must have, looked for first because it is quick
+_HEAD_HINT, _HEAD_WORDS, _DIGIT = re.compile(r"[\])]\.?[ \t]*$", re.M), ("value", "figure", "reading", "this block"), re.compile(r"\d")
 _ENTRY = re.compile(r"^\s*[^\d\n|:]{2,48}?(?:\s*:\s*|[ .…]{2,}|\s)([-−]?\d[\d.,\xa0½¼¾/ ]*)[ \t]*$")
 _NOTE = re.compile(r"\b(?:all\s+)?(temperature|pressure|torque|length|flow|power|volume|weight|mass)s?(?:\s+values)?(?:\s*:\s*|\s+(?:are\s+given\s+|are\s+|given\s+)?in\s+)([^\s,;]+(?:\s(?:gal|gpm|tons|m)\b)?)", re.I)
 
 
+@functools.lru_cache(maxsize=65_536)
 def unit_of(text: str) -> str | None:
     """The unit a piece of text names, or None."""
     t = " ".join(text.split())
@@ -252,11 +256,11 @@ def clean_text(text: str) -> str:
 
 def text_statements(text: str | None) -> list[tuple[str, float, int, str]]:
     """(unit as written, value, group, where) of a text; statements of one group say the same thing."""
-    if not text or not any(c.isdigit() for c in text):
+    if not text or not _DIGIT.search(text):
         return []
     t = clean_text(text)
     out: list[tuple[str, float, int, str]] = []
-    before: tuple[int, float, bool, int] | None = None  # end, value, had a unit, group
+    before: tuple[int, str, float, bool, int] | None = None  # end, number, sign, had a unit, group
     group = 0
     for m in _NUMBER.finditer(t):
         a, e = m.span()
@@ -284,24 +288,25 @@ def text_statements(text: str | None) -> list[tuple[str, float, int, str]]:
                 unit = None
             if unit == "t" and word in ("ton", "tons"):
                 unit = word
+        if unit is None:
+            before = (e, m.group(), sign, False, group)
+            continue
         value = number_of(m.group())
         if value is None:
             before = None
             continue
-        value *= sign
         gap = t[before[0] : a - (sign < 0)] if before else ""
-        if unit is not None:
-            same = before is not None and before[2] and re.fullmatch(r"[^\d\n]{0,16}[(=][\s\xa0]*", gap) is not None
-            if not same:
-                group += 1
-            out.append((unit, value, group, "number"))
-            if before and not before[2] and len(gap) <= 14 and _RANGE.match(gap):
-                out.append((unit, before[1], -group, "number"))
-            before = (u.end(), value, True, group)
-        else:
-            before = (e, value, False, group)
+        same = before is not None and before[3] and re.fullmatch(r"[^\d\n]{0,16}[(=][\s\xa0]*", gap) is not None
+        if not same:
+            group += 1
+        out.append((unit, value * sign, group, "number"))
+        if before and not before[3] and len(gap) <= 14 and _RANGE.match(gap):
+            low = number_of(before[1])
+            if low is not None:
+                out.append((unit, low * before[2], -group, "number"))
+        before = (u.end(), m.group(), sign, True, group)
     # units that stand once for several numbers
-    for h in _HEAD.finditer(t):
+    for h in _HEAD.finditer(t) if _HEAD_HINT.search(t) or any(w in t for w in _HEAD_WORDS) else ():
         unit = unit_of(h.group("a") or h.group("b") or "")
         if unit is None:
             continue
