@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,29 @@ def local_session(cores: int | str = "*", shuffle: int = 8, memory: str = "8g")
     )
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application: a worker that was not started beside it could not load the
+    functions that tasks name. Spark serves the archive to every executor, also to one that joins later."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="spark-tidemark-package-")
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/tidemark.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(at, f)
+                    z.write(path, os.path.join("tidemark", os.path.relpath(path, root)))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share. Read from spark.checkpoint.dir; only a session without one (tests) gets a
     temporary folder of its own."""
