@@ -1,4 +1,5 @@
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as tx
@@ -11,12 +12,28 @@ def one(spark, value, column):
 PROSE = "The relief valve on the starboard side must be tested before the engine is started and the result entered in the log."
 
 
-def test_language(spark):
-    assert one(spark, PROSE, tx.is_real_language) is True
-    assert one(spark, PROSE[::-1], tx.is_real_language) is False
-    assert one(spark, "ab", tx.pair_rate) == 0.0
-    assert one(spark, "", tx.is_real_language) is True
-    assert one(spark, None, tx.pair_rate) is None or one(spark, None, tx.pair_rate) == 0.0
+def rate(text):
+    letters = [c for c in text.lower() if "a" <= c <= "z"]
+    if len(letters) < 20:
+        return 0.0
+    return sum(a + b in tx.COMMON_PAIRS for a, b in zip(letters, letters[1:])) / (len(letters) - 1)
+
+
+THIS = "this path of thought had nothing of both hot things and cold things in that thin bath of his"
+
+
+@pytest.mark.parametrize("text", [PROSE, PROSE[::-1], THIS, THIS[::-1], "xq zv kk pp wq xx vv zz qq jj", "12345 | 678", "ab", ""])
+def test_language(spark, text):
+    ahead, back = rate(text), rate(text[::-1])
+    want = True if ahead >= 0.08 else not (back >= 0.08 and back > 2 * ahead)
+    assert one(spark, text, tx.is_real_language) is want
+    assert abs(one(spark, text, tx.pair_rate) - ahead) < 1e-12
+
+
+def test_backwards_text_is_told(spark):
+    backwards = "foxht " * 8
+    assert rate(backwards) < 0.08 and one(spark, backwards, tx.is_real_language) is False
+    assert one(spark, None, tx.is_real_language) in (None, True)
 
 
 def test_pair_rate_is_brute_force(spark):
