@@ -324,8 +324,10 @@ def compound_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.where(F.col(text).contains("-")).select(F.explode(found).alias("compound")).groupBy("compound").agg(F.count("*").alias("n_compound"))
 
 
-def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(before, word, n): adjacent words over all texts, counted in the tasks first."""
+def pair_counts(df: DataFrame, text: str = "text", among: set[str] | None = None) -> DataFrame:
+    """(before, word, n): adjacent words over all texts, counted in the tasks first; only pairs with a word in ``among``
+    if it is given."""
+    held = df.sparkSession.sparkContext.broadcast(frozenset(among)) if among is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: Counter = Counter()
@@ -337,8 +339,12 @@ def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
         for batch in batches:
             for t in batch.column(0).to_pylist():
-                w = words_of(prepared(t))
-                total.update(zip(w, w[1:]))
+                w = words_of(prepared(t)) if held is None or held.value else []
+                if held is None:
+                    total.update(zip(w, w[1:]))
+                else:
+                    wanted = held.value
+                    total.update(p for p in zip(w, w[1:]) if p[0] in wanted or p[1] in wanted)
             if len(total) > 300_000:
                 yield flush()
         yield flush()
@@ -347,8 +353,13 @@ def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def chosen_fixes(df: DataFrame, words: DataFrame, text: str = "text") -> DataFrame:
-    """(key, wrong, right): for each misread word of a text the candidate with the best cost, context and frequency."""
-    pairs = pair_counts(df, text)
+    """(key, wrong, right): for each misread word of a text the candidate with the best cost, context and frequency.
+
+    Context matters only where candidates compete, so pairs are counted around those candidates; should they be more than
+    SKIP, around all words."""
+    several = words.select("wrong", "right").distinct().groupBy("wrong").agg(F.count("*").alias("candidates"), F.collect_set("right").alias("rights")).where("candidates > 1")  # a word has few
+    rivals = several.select(F.explode("rights").alias("right")).distinct().limit(SKIP + 1).collect()
+    pairs = pair_counts(df, text, {r["right"] for r in rivals} if len(rivals) <= SKIP else None)
     left = pairs.select("before", F.col("word").alias("right"), F.col("n").alias("n_before"))
     right = pairs.select(F.col("before").alias("right"), F.col("word").alias("after"), F.col("n").alias("n_after"))
     w = words.join(left, ["before", "right"], "left").join(right, ["right", "after"], "left").fillna(0, ["n_before", "n_after"])
