@@ -105,3 +105,44 @@ def test_first_containing(spark):
     n = spark.createDataFrame([("KE683",), ("ZZ9",), ("A",)], "needle string")
     h = spark.createDataFrame([("DRIVEKE683AMANUAL", "b title"), ("XKE683", "a title")], "hay string, label string")
     assert [(r["needle"], r["label"]) for r in library.first_containing(n, h).collect()] == [("KE683", "a title")]
+
+
+def test_later_arms_lose_hits_that_an_earlier_arm_has(spark):
+    s = "q int, pos int, document_title string, page_number int, text string, distance double, chunk_id string"
+    near = spark.createDataFrame([(1, 1, "A", None, "x", 0.2, "a"), (1, 2, "B", 7, "y", 0.3, "b")], s)
+    coded = spark.createDataFrame([(1, 1, "A", None, "x", -1.0, "copy"), (1, 2, "C", 1, "z", -1.0, "c"), (2, 1, "A", None, "x", -1.0, "a")], s)
+    drawn = spark.createDataFrame([(1, 1, "C", 1, "z", -1.0, "c"), (1, 2, "D", 1, "w", -1.0, "d")], s)
+    got = retrieval.finalize_hits(retrieval.ranked_union([near, coded, drawn], "q"), "q").orderBy("q", "final_rank").collect()
+    assert [(r["q"], r["arm"], r["chunk_id"]) for r in got] == [(1, 1, "c"), (1, 2, "d"), (1, 0, "a"), (1, 0, "b"), (2, 1, "a")]
+
+
+def test_title_and_drawing_hits(spark):
+    rows = [(f"c{i}", "Fuel - KE683 Wiring Diagram", "Fuel_KE683_FuelOilPiping_DWG.pdf", i) for i in range(30)] + [("e", "Hull", "Hull_DWG.pdf", 1)]
+    c = spark.createDataFrame(rows, "chunk_id string, document_title string, source_file string, page_number int")
+    q = spark.createDataFrame([(1, "Show me the FUEL - KE683 wiring diagram please"), (2, "view the hull"), (3, "show me fuel")], "query_id long, text string")
+    got = retrieval.title_hits(c, q, 2).collect()
+    assert sorted((r["query_id"], r["chunk_id"]) for r in got) == [(1, "c0"), (1, "c1"), (2, "e")]
+    words = spark.createDataFrame([("piping",), ("hull",), ("none",)], "keyword string")
+    got = retrieval.drawing_hits(c, words, 20).groupBy("keyword").count().collect()
+    assert {r["keyword"]: r["count"] for r in got} == {"piping": 20, "hull": 1}
+
+
+def test_vector_topk_keeps_the_nearest_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    v = np.random.default_rng(1).integers(-2, 3, size=(80, 3)).astype(float)  # many ties and some without length
+    d = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").coalesce(1)
+    got = retrieval.vector_topk(d, d.withColumnRenamed("vec_id", "query_id"), 5).groupBy("query_id").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).collect()
+    for r in got:
+        q = v[r["query_id"]]
+        dist = sorted((round(1 - float((q * x).sum()) / (np.sqrt((q * q).sum()) * np.sqrt((x * x).sum())), 12), i) for i, x in enumerate(v) if x.any())
+        assert r["ids"] == sorted(i for _, i in dist[:5])
+    assert len(got) == sum(x.any() for x in v)
+
+
+def test_hybrid_search_asks_the_chunks(spark, small):
+    from tidemark.plans.retrieval_queries import q_hybrid_search
+
+    got = q_hybrid_search(spark, small)
+    n = spark.read.parquet(f"{small}/tm_chunks.parquet").count()
+    assert {r["query_id"] for r in got.select("query_id").distinct().collect()} <= set(range(50, n + 1, 50))
+    assert {r["arm"] for r in got.select("arm").distinct().collect()} >= {0, 1} and "chunk_id" in got.columns

@@ -6,13 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 #: Queries that one pass over the corpus answers; their vectors are what a task holds.
 QUERY_BLOCK = 4096
+#: Rows that a task compares with the block at once, and what two ways of summing a similarity may differ by.
+TILE, SLACK = 1024, 1e-9
 
 
 def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_block: int = QUERY_BLOCK) -> DataFrame:
@@ -34,26 +36,36 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
         def near(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             ids, vectors = part.value
             width = max((len(v) for v in vectors), default=0)
-            unit = np.array([v if len(v) == width else [0.0] * width for v in vectors], float).reshape(len(ids), width)
-            norm = np.sqrt((unit * unit).sum(axis=1))
+            q = np.array([v if len(v) == width else [0.0] * width for v in vectors], float).reshape(len(ids), width)
+            norm = np.sqrt((q * q).sum(axis=1))
+            ids, q, norm = ids[norm > 0], q[norm > 0], norm[norm > 0]
+            if not len(ids):
+                return
+            best = pd.DataFrame({"row": np.empty(0, np.int64), key: np.empty(0, np.int64), "distance": np.empty(0)})
+            least = np.full(len(ids), -np.inf)  # similarity below which a row is none of the query's k
             for pdf in batches:
                 pdf = pdf[[len(v) == width for v in pdf["v"]]]
-                if not len(pdf) or not width:
+                if not len(pdf):
                     continue
-                m = np.stack(pdf["v"].to_numpy())
-                n = np.sqrt((m * m).sum(axis=1))
-                keys = pdf[key].to_numpy(np.int64)
-                live = n > 0
-                m, n, keys = m[live], n[live], keys[live]
-                if not len(m):
-                    continue
-                order = np.argsort(keys, kind="stable")
-                m, n, keys = m[order], n[order], keys[order]
-                rows = np.flatnonzero(norm > 0)
-                d = 1.0 - (unit[rows] @ m.T) / (norm[rows, None] * n[None, :])
-                d = np.round(d, 12)
-                top = np.argsort(d, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({query_key: np.repeat(ids[rows], top.shape[1]), key: keys[top].ravel(), "distance": np.take_along_axis(d, top, 1).ravel()})
+                every, all_keys = np.stack(pdf["v"].to_numpy()), pdf[key].to_numpy(np.int64)
+                for at in range(0, len(every), TILE):
+                    m, keys = every[at : at + TILE], all_keys[at : at + TILE]
+                    n = np.sqrt((m * m).sum(axis=1))
+                    m, n, keys = m[n > 0], n[n > 0], keys[n > 0]
+                    if not len(m):
+                        continue
+                    near_by = (q / norm[:, None]) @ (m / n[:, None]).T
+                    floor = least if len(m) < k else np.maximum(least, np.partition(near_by, len(m) - k, axis=1)[:, len(m) - k]) if np.isinf(least).any() else least
+                    r, c_ = np.nonzero(near_by >= floor[:, None] - SLACK)
+                    if not len(r):
+                        continue
+                    d = np.round(1.0 - np.einsum("ij,ij->i", q[r], m[c_]) / (norm[r] * n[c_]), 12)
+                    best = pd.concat([best, pd.DataFrame({"row": r, key: keys[c_], "distance": d})]).sort_values(["row", "distance", key])
+                    best = best[(best.groupby("row").cumcount() < k).to_numpy()]
+                    full = best.groupby("row").nth(k - 1)
+                    least[full["row"].to_numpy()] = 1.0 - full["distance"].to_numpy()
+            if len(best):
+                yield pd.DataFrame({query_key: ids[best["row"].to_numpy()], key: best[key].to_numpy(), "distance": best["distance"].to_numpy()})
 
         one = c.mapInPandas(near, f"{query_key} bigint, {key} bigint, distance double")
         found = one if found is None else found.unionByName(one)
@@ -77,6 +89,59 @@ def code_search(corpus: DataFrame, terms: DataFrame, limit: int = 20) -> DataFra
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
 
 
+def _pieces(col: str, n: int) -> Column:
+    return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substr(F.col(col), i, F.lit(n)))))
+
+
+def title_hits(corpus: DataFrame, questions: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, chunk_id, rank): the first pages of the first title that a question names in full, letter case aside.
+
+    corpus has chunk_id, document_title, page_number; questions has query_id and text. A title can only stand where its
+    first twelve characters do (three, if it is shorter), so the distinct titles meet the questions' pieces by equality."""
+    titles = corpus.select("document_title").distinct().withColumn("low", F.lower("document_title")).where(F.length("low") >= 3)
+    q = questions.select("query_id", F.lower("text").alias("text"))
+    met = None
+    for n, kept in ((12, F.length("low") >= 12), (3, F.length("low") < 12)):
+        laid = q.where(F.length("text") >= n).withColumn("piece", _pieces("text", n))
+        one = laid.join(titles.where(kept).withColumn("piece", F.left("low", F.lit(n))), "piece").where(F.contains("text", "low")).select("query_id", "document_title")
+        met = one if met is None else met.unionByName(one)
+    named = met.groupBy("query_id").agg(F.min("document_title").alias("document_title"))
+    order = Window.partitionBy("document_title").orderBy(F.col("page_number").asc_nulls_last(), "chunk_id")
+    first = corpus.select("chunk_id", "document_title", "page_number").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return named.join(first, "document_title").select("query_id", "chunk_id", "rank")
+
+
+def drawing_hits(corpus: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
+    """(keyword, chunk_id, rank): chunks of drawings whose title or file name holds the keyword, at most limit for each.
+
+    corpus has chunk_id, document_title, source_file, page_number; words has keyword, of four or more letters a-z. A keyword
+    stands inside a run of letters, so distinct runs meet keywords on three letters. A document hands on its first limit
+    chunks, and a keyword meets the first limit titles, each of which has a chunk."""
+    doc = ["document_title", "source_file"]
+    names = F.lower(F.concat_ws("\n", *doc))
+    runs = corpus.select(*doc).distinct().withColumn("run", F.explode(F.array_distinct(F.regexp_extract_all(names, F.lit("([a-z]{4,})"), F.lit(1)))))
+    laid = runs.select("run").distinct().withColumn("piece", _pieces("run", 3))
+    held = words.select("keyword").distinct().withColumn("piece", F.left("keyword", F.lit(3))).join(laid, "piece").where(F.contains("run", "keyword")).select("keyword", "run").distinct()
+    docs = held.join(runs, "run").select("keyword", *doc).distinct()
+    docs = docs.withColumn("no", F.dense_rank().over(Window.partitionBy("keyword").orderBy("document_title"))).where(F.col("no") <= limit)
+    order = ["page_number", "chunk_id"]
+    first = corpus.select("chunk_id", *doc, "page_number").withColumn("no_in", F.row_number().over(Window.partitionBy(*doc).orderBy(*order))).where(F.col("no_in") <= limit)
+    a, b = docs.alias("a"), first.alias("b")
+    rows = a.join(b, F.col("a.document_title").eqNullSafe(F.col("b.document_title")) & F.col("a.source_file").eqNullSafe(F.col("b.source_file"))).select("a.keyword", "b.chunk_id", "b.document_title", "b.page_number")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("keyword").orderBy("document_title", *order))).where(F.col("rank") <= limit).select("keyword", "chunk_id", "rank")
+
+
+def ranked_union(arms: list[DataFrame], group: str) -> DataFrame:
+    """All arms' hits with arm and a pos that counts through the arms; a later arm's hit whose fingerprint (null-safe) an
+    earlier arm of the group has is left out. Arms have group, pos, document_title, page_number, text, distance, chunk_id."""
+    out = arms[0].withColumn("arm", F.lit(0))
+    for no, arm in enumerate(arms[1:], 1):
+        seen = out.select(F.col(group).alias("fp_group"), *tx.fingerprint(F.col("document_title"), F.col("page_number"), F.col("text"))).distinct()
+        same = (F.col(group) == F.col("fp_group")) & F.col("document_title").eqNullSafe(F.col("fp_title")) & F.col("page_number").eqNullSafe(F.col("fp_page")) & F.left("text", F.lit(80)).eqNullSafe(F.col("fp_text"))
+        out = out.unionByName(arm.join(seen, same, "left_anti").withColumn("arm", F.lit(no)))
+    return out.withColumn("pos", F.row_number().over(Window.partitionBy(group).orderBy("arm", "pos", "chunk_id")))
+
+
 def finalize_hits(hits: DataFrame, group: str, max_gap: int = 1) -> DataFrame:
     """Hits of each group in their final order: first of equal fingerprints, by distance, then runs of consecutive pages
     of one title read together at the place of their best member.

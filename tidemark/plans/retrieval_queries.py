@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import retrieval
-from ..session import table
+from ..operators.numbering import numbered
+from ..session import table, written
 
 CHUNK_COLUMNS = ("chunk_id", "text", "document_title", "page_number")
 
@@ -129,7 +130,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("id", "pos", F.col("c.metadata.document_title").alias("document_title"), F.col("c.metadata.page_number").alias("page_number"), F.col("c.text").alias("text"), F.col("c.distance").alias("distance"), F.col("c.metadata.revision").alias("revision"), F.col("c.metadata.total_pages").alias("total_pages"))
 
 
-def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def q_stored_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored hits of every answer in their final order."""
     d = retrieval.finalize_hits(_hits(spark, sf_dir), "id")
     return d.select(F.col("id").alias("message_id"), F.col("final_rank").cast("bigint").alias("final_rank"), "document_title", "page_number", F.round("distance", 6).alias("distance"))
@@ -141,7 +142,7 @@ u as (select id, unnest(range(len(chunks))) as pos, chunks from m),
 h as (select id, pos, chunks[pos + 1].metadata.document_title as document_title, chunks[pos + 1].metadata.page_number as page_number, chunks[pos + 1].text as text,
       chunks[pos + 1].distance as distance, chunks[pos + 1].metadata.revision as revision, chunks[pos + 1].metadata.total_pages as total_pages from u)"""
 
-HYBRID_SQL = f"""
+STORED_HITS_SQL = f"""
 with {HITS_SQL},
 d as (select * from (select *, row_number() over (partition by id, document_title, page_number, left(text, 80) order by pos) as n from h) where n = 1),
 r as (select *, row_number() over (partition by id order by distance, pos) as rank from d),
@@ -155,6 +156,79 @@ select id as message_id, row_number() over (partition by id order by anchor, cas
 """
 
 
+# What makes a question one to be shown a document, and how many hits the arms hold.
+SHOW = r"(?i)\b(show\s+me|can\s+I\s+see|let\s+me\s+see|display|view|picture\s+of|what\s+does\s+.+\s+look\s+like|pull\s+up)\b"
+TOP_K, TITLE_K, EXACT = 10, 8, -1.0
+
+
+def q_hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth chunk as a question to all chunks: the nearest vectors, then chunks with its codes, then drawings with
+    its words in their names, each fingerprint once, in final order. A question to be shown a title gets that title only."""
+    t = table(spark, sf_dir, "tm_chunks")
+    rows = written(numbered(t.select("chunk_id", "embedding"), ["chunk_id"]), "hybrid-rows")
+    asked = rows.where("row_no % 50 = 0").select(F.col("row_no").alias("query_id"), "chunk_id", "embedding")
+    questions = written(asked.select("query_id", "chunk_id").join(t.select("chunk_id", "text"), "chunk_id").select("query_id", "text"), "hybrid-questions")
+    pages = t.select("chunk_id", "document_title", "page_number", F.left("text", F.lit(80)).alias("text"))
+
+    titled = written(retrieval.title_hits(t, questions.where(F.col("text").rlike(SHOW)), TITLE_K), "hybrid-titles")
+    open_ = questions.join(titled.select("query_id").distinct(), "query_id", "left_anti")
+    near = retrieval.vector_topk(rows.select(F.col("row_no").alias("vec_id"), "embedding"), asked.join(titled.select("query_id").distinct(), "query_id", "left_anti"), TOP_K)
+    near = near.join(rows.select(F.col("row_no").alias("vec_id"), "chunk_id"), "vec_id").select("query_id", "chunk_id", F.col("rank").alias("pos"), "distance")
+
+    terms = open_.select("query_id", F.posexplode(tx.code_terms(F.col("text"))).alias("no", "term"))
+    coded = retrieval.code_search(t.select(*CHUNK_COLUMNS), terms.select("term")).select("term", "chunk_id", "rank")
+    coded = terms.join(coded, "term").groupBy("query_id", "chunk_id").agg((F.min(F.struct("no", "rank"))).alias("at"))
+
+    words = open_.where(F.col("text").rlike(TRIGGER)).select("query_id", F.posexplode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{4,})"), F.lit(1)))).alias("no", "keyword")).where(~F.col("keyword").isin(*GENERIC))
+    drawings = t.where(F.col("document_type").isin(*DRAWINGS)).select("chunk_id", "document_title", "source_file", "page_number")
+    drawn = words.join(retrieval.drawing_hits(drawings, words), "keyword").groupBy("query_id", "chunk_id").agg((F.min(F.struct("no", "rank"))).alias("at"))
+
+    by_place = Window.partitionBy("query_id").orderBy("at", "chunk_id")
+    boosts = [d.select("query_id", "chunk_id", F.row_number().over(by_place).alias("pos"), F.lit(EXACT).alias("distance")) for d in (coded, drawn)]
+    # the title's pages stand in the first arm: such a question has no others
+    shown = titled.select("query_id", "chunk_id", F.col("rank").alias("pos"), F.lit(0.0).alias("distance"))
+    arms = [written(d.join(pages, "chunk_id"), "hybrid-arm") for d in (near.unionByName(shown), *boosts)]
+    d = retrieval.finalize_hits(retrieval.ranked_union(arms, "query_id"), "query_id")
+    return d.select("query_id", F.col("final_rank").cast("bigint").alias("final_rank"), "arm", "chunk_id", "document_title", "page_number", F.round("distance", 6).alias("distance"))
+
+
+# "arm" 0 is the nearest vectors, or the title's pages; 1 the codes; 2 the drawings.
+HYBRID_SQL = rf"""
+with t as (select *, row_number() over (order by chunk_id) as row_no, embedding::double[] as v from tm_chunks),
+q as (select row_no as query_id, text, v from t where row_no % 50 = 0),
+named as (select query_id, min(document_title) as document_title from q join (select distinct document_title from tm_chunks) on contains(lower(q.text), lower(document_title)) where regexp_matches(q.text, '{SHOW}') and length(document_title) >= 3 group by 1),
+shown as (select query_id, chunk_id, 0 as arm, pos, cast(0 as double) as distance from
+  (select query_id, chunk_id, row_number() over (partition by query_id order by page_number nulls last, chunk_id) as pos from named join t using (document_title)) where pos <= {TITLE_K}),
+o as (select * from q where query_id not in (select query_id from named)),
+s as (select query_id, chunk_id, row_no, 1 - list_dot_product(o.v, t.v) / (sqrt(list_dot_product(o.v, o.v)) * sqrt(list_dot_product(t.v, t.v))) as d
+      from o, t where list_dot_product(o.v, o.v) > 0 and list_dot_product(t.v, t.v) > 0),
+near as (select query_id, chunk_id, 0 as arm, pos, round(d, 12) as distance from (select *, row_number() over (partition by query_id order by round(d, 12), row_no) as pos from s) where pos <= {TOP_K}),
+terms as (select query_id, term, min(no) as no from (select query_id, regexp_replace(unnest(c), '\s*-\s*', '-', 'g') as term, unnest(range(len(c))) as no from
+  (select query_id, regexp_extract_all(text, '\b(\d{{2,5}}\s*-\s*\d{{1,4}}|[A-Za-z]{{1,4}}-\d{{1,5}})\b') as c from o)) where length(term) >= 3 group by 1, 2),
+hits as (select term, chunk_id, row_number() over (partition by term order by document_title, page_number, chunk_id) as rank from
+  (select distinct term from terms) join (select *, lower(regexp_replace(text, '\s*-\s*', '-', 'g')) as x from tm_chunks) on contains(x, lower(term))),
+coded as (select query_id, chunk_id, 1 as arm, row_number() over (partition by query_id order by place, chunk_id) as pos, cast({EXACT} as double) as distance from
+  (select query_id, chunk_id, min(no * 1000 + rank) as place from terms join hits using (term) where rank <= 20 group by 1, 2)),
+words as (select query_id, keyword, min(no) as no from (select query_id, unnest(c) as keyword, unnest(range(len(c))) as no from
+  (select query_id, regexp_extract_all(lower(text), '[a-z]{{4,}}') as c from o where regexp_matches(text, '{TRIGGER}'))) where keyword not in ({", ".join(f"'{g}'" for g in GENERIC)}) group by 1, 2),
+plans as (select keyword, chunk_id, row_number() over (partition by keyword order by document_title, page_number, chunk_id) as rank from
+  (select distinct keyword from words) join tm_chunks on document_type in ({", ".join(f"'{d}'" for d in DRAWINGS)}) and (contains(lower(document_title), keyword) or contains(lower(source_file), keyword))),
+drawn as (select query_id, chunk_id, 2 as arm, row_number() over (partition by query_id order by place, chunk_id) as pos, cast({EXACT} as double) as distance from
+  (select query_id, chunk_id, min(no * 1000 + rank) as place from words join plans using (keyword) where rank <= 20 group by 1, 2)),
+u as (select * from shown union all select * from near union all select * from coded union all select * from drawn),
+h as (select query_id as id, chunk_id, arm, row_number() over (partition by query_id order by arm, pos) as pos, document_title, page_number, text, distance from u join tm_chunks using (chunk_id)),
+d as (select * from (select *, row_number() over (partition by id, document_title, page_number, left(text, 80) order by pos) as n from h) where n = 1),
+r as (select *, row_number() over (partition by id order by distance, pos) as rank from d),
+p as (select id, document_title, page_number, case when page_number - lag(page_number) over (partition by id, document_title order by page_number) <= 1 then 0 else 1 end as new
+      from (select distinct id, document_title, page_number from r)),
+i as (select *, sum(new) over (partition by id, document_title order by page_number rows unbounded preceding) as run from p),
+j as (select r.*, i.run from r left join i on r.id = i.id and r.document_title = i.document_title and r.page_number = i.page_number),
+g as (select id, document_title, run, count(distinct page_number) as pages, min(rank) as best from j group by 1, 2, 3),
+f as (select j.*, coalesce(g.pages >= 2, false) as in_run, case when g.pages >= 2 then g.best else j.rank end as anchor from j left join g on j.id = g.id and j.document_title = g.document_title and j.run = g.run)
+select id as query_id, row_number() over (partition by id order by anchor, case when in_run then page_number else 0 end, rank) as final_rank, arm, chunk_id, document_title, page_number, round(distance, 6) as distance from f
+"""
+
+
 def q_format_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citation lines of each answer: each title, revision and page once, in order of the hits."""
     h = _hits(spark, sf_dir)
@@ -209,7 +283,7 @@ def q_inspect_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSPECT_SQL = "select chunk_id, page_number, cast(length(text) as bigint) as characters from tm_chunks where document_title ilike '%steering%parts list%'"
 
-QUERIES = {f.__name__: f for f in (q_vector_topk, q_zero_vectors, q_title_lookup, q_title_first_pages, q_code_terms, q_code_search, q_drawing_keywords, q_hybrid_search, q_format_sources, q_page_runs, q_dedupe_fingerprint, q_tfidf_topk, q_inspect_page)}
+QUERIES = {f.__name__: f for f in (q_vector_topk, q_zero_vectors, q_title_lookup, q_title_first_pages, q_code_terms, q_code_search, q_drawing_keywords, q_hybrid_search, q_stored_hits, q_format_sources, q_page_runs, q_dedupe_fingerprint, q_tfidf_topk, q_inspect_page)}
 ORACLE_SQL = {
     "q_vector_topk": VECTOR_TOPK_SQL,
     "q_zero_vectors": ZERO_VECTORS_SQL,
@@ -219,6 +293,7 @@ ORACLE_SQL = {
     "q_code_search": CODE_SEARCH_SQL,
     "q_drawing_keywords": DRAWING_KEYWORDS_SQL,
     "q_hybrid_search": HYBRID_SQL,
+    "q_stored_hits": STORED_HITS_SQL,
     "q_format_sources": FORMAT_SOURCES_SQL,
     "q_page_runs": PAGE_RUNS_SQL,
     "q_dedupe_fingerprint": DEDUPE_SQL,
