@@ -42,3 +42,18 @@ def test_letter_pairs_are_brute_force(spark):
 
 def test_empty(spark):
     assert q.text_statistics(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+STACKED = "\n".join(f"Position\n{i}\nName\n{p}\nPart number\n{84000 + 7 * i}-{i + 3}" for i, p in enumerate(PARTS, 1))
+SPACED = "\n".join(f"V-{i}7 {p} {i * 3} {84000 + i * 31}-8" for i, p in enumerate(PARTS, 1))
+LONG_NAME = "stainless cylinder gasket assembly complete flange bolt washer nut bearing housing thermostat element bracket spacer"
+STEPPED = "\n".join(f"{LONG_NAME} {p}\n    {LONG_NAME} {p} bracket\n    {LONG_NAME} {p} spacer" for p in PARTS)
+CONTENTS = "\n".join(f"{i}.3 {p.title()} ........... {i * 3}" for i, p in enumerate(PARTS, 1))
+NUMBERED = "\n".join(f"{i}. {p} 24 V" for i, p in enumerate(PARTS, 1))
+
+
+@pytest.mark.parametrize("text, kind", [(STACKED, "table"), (SPACED, "table"), (STEPPED, "list"), (CONTENTS, "list"), (NUMBERED, "list"), (STEPPED.replace("    ", ""), "prose")])
+def test_shape_of_lines_decides_where_alignment_does_not(spark, text, kind):
+    filler = [(PROSE + " " + " and ".join(PARTS) + " " + LONG_NAME,)] * 40
+    d = spark.createDataFrame([(text,)] + filler, "text string")
+    assert [r["kind"] for r in q.text_statistics(d).where("text not like 'The relief%'").collect()] == [kind]

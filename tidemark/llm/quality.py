@@ -6,7 +6,8 @@ their shape). These meet word, symbol and punctuation ratios. What reads as word
 counted over every document: a table of at most 30 x 30 counts, whatever the corpus.
 
 A document is prose if most of its characters stand in sentences; junk if it is not prose and neither its words nor its
-numbers can be read; otherwise a table if its lines align or its labels repeat, and a list if not.
+numbers can be read; otherwise a table if its lines align, its labels repeat or its lines recur as records, and a list if
+not, or if its indentation is periodic.
 
 Null and blank texts get kind 'empty' and zero statistics. Very long texts are read whole. Repeated rows give repeated
 results; other columns pass, except that columns named like a statistic are replaced by it.
@@ -57,6 +58,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"(?<![^\W_])\d{1,9}(?![^\W_])")
 _TOKEN = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?:;…][\"'”’»)\]]*\s*$")
+# What stands before an entry; from where a series of lines counts as periodic, a length alone as steady, rows
+# and lines a period apart as of one shape, and how many lines recur word for word if labels stand on lines of their own.
+_LEAD = re.compile(r"^\s*(?:[-*•·–]|\[.?\]|\(?\w{1,3}[.)]|\d+(?:\.\d+)+(?=\s+[^\W\d_]))\s+")
+PERIODIC, STEADY, ROW_SHARE, SAME_SHAPE, LABELS_RECUR = 0.3, 0.7, 0.7, 0.8, 0.3
 # Marks that ordinary text has.
 _USUAL = "|.,;:-()/'’\"“”…—–•[]+%°"
 _SPACE = b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -144,16 +149,42 @@ class LetterModel:
         return got
 
 
-def _autocorrelation(x: np.ndarray, most: int = 12) -> float:
-    """The largest autocorrelation over lags up to 12; 1 for a constant series of three or more."""
+def _autocorrelation(x: np.ndarray, most: int = 12) -> tuple[float, int]:
+    """The largest autocorrelation over lags up to 12, and its lag; 1 at lag 1 for a constant series of three or more."""
     if len(x) < 3:
-        return 0.0
+        return 0.0, 0
     x = x - x.mean()
     var = float((x * x).mean())
     if var < 1e-9:
-        return 1.0
+        return 1.0, 1
     n = len(x)
-    return max(float(np.dot(x[k:], x[:-k])) / (n - k) for k in range(1, min(most, n - 2) + 1)) / var
+    found, lag = max((float(np.dot(x[k:], x[:-k])) / (n - k), -k) for k in range(1, min(most, n - 2) + 1))
+    return found / var, -lag
+
+
+def _shape(line: str) -> str:
+    """Fields of a line: N for each value with a digit, W for each run of words; a bullet or a number of the line is none."""
+    fields = "".join("N" if any(map(str.isdigit, w)) else "W" for w in _LEAD.sub("", line).split())
+    return re.sub("W+", "W", fields)
+
+
+def _records(lines: list[str], line_auto: float, lag: int) -> bool:
+    """Whether the lines are records without delimiters: rows of three or more fields in one shape, two of them values; or
+    line lengths of period ``lag``, at which labels recur word for word, or lines that are words or a value by turns."""
+    n = len(lines)
+    if n < 4:
+        return False
+    shapes = [_shape(x) for x in lines]
+    shape, often = Counter(shapes).most_common(1)[0]
+    if often >= ROW_SHARE * n and len(shape) >= 3 and shape.count("N") >= 2 and "W" in shape:
+        return True
+    if line_auto < PERIODIC or lag < 2 or n < 3 * lag:
+        return False
+    at = range(lag, n)
+    told = [" ".join(x.split()).lower() for x in lines]
+    recur = sum(told[i] == told[i - lag] for i in at) / len(at)
+    alike = sum(shapes[i] == shapes[i - lag] for i in at) / len(at)
+    return alike >= SAME_SHAPE and len(set(shapes)) >= 2 and (LABELS_RECUR <= recur < 1.0 or line_auto >= STEADY and all(len(x) <= 1 for x in shapes))
 
 
 def statistics(text: str | None, model: LetterModel) -> tuple:
@@ -197,8 +228,8 @@ def statistics(text: str | None, model: LetterModel) -> tuple:
     repeated = sum(n for n in Counter(labels).values() if n > 1) / len(lines) if labels else 0.0
     lengths = np.fromiter((len(x) for x in lines), float, len(lines))
     indents = np.fromiter((len(x) - len(x.lstrip()) for x in lines), float, len(lines))
-    line_auto = _autocorrelation(lengths)
-    indent_auto = _autocorrelation(indents) if indents.any() else 0.0
+    line_auto, lag = _autocorrelation(lengths)
+    indent_auto = _autocorrelation(indents)[0] if indents.any() else 0.0
 
     # sentences: lines with enough common words that are no rows; a wrapped line counts with its paragraph
     prose = 0
@@ -230,14 +261,15 @@ def statistics(text: str | None, model: LetterModel) -> tuple:
         kind = "prose"
     elif readable_share < 0.62 and not (alnum and sum(map(str.isdigit, text)) / alnum > 0.6 and best_align > 0.6):
         kind = "junk"
-    elif best_align >= 0.6 or repeated >= 0.5:
+    elif best_align >= 0.6 or repeated >= 0.5 or _records(lines, line_auto, lag):
         kind = "table"
     elif prose_share >= 0.3 and ends >= 0.5:
         kind = "prose"
     else:
         entries = sum(1 for x in lines if len(x) <= 80) / len(lines)
         long_run = filled / len(lines) > 100 and model is not None
-        kind = "list" if entries >= 0.5 and not long_run else "prose"
+        stepped = indent_auto >= PERIODIC and len(lines) >= 4 and np.ptp(indents) > 0
+        kind = "list" if entries >= 0.5 and not long_run or stepped else "prose"
     return (len(words), filled / max(1, len(words)), symbol_ratio, ends, common, len(lines), best_align, indent_auto, line_auto, prose_share, readable_share, kind)
 
 
