@@ -19,3 +19,14 @@ def test_runs(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows(spark, name):
     assert differences(queries.QUERIES[name](spark, SMALL), queries.ORACLE_SQL[name], connection(SMALL)) == ""
+
+
+def test_unmatched_are_the_misses_of_all_fields(spark):
+    sf = "/root/testdata/sf0.01"
+    misses: dict[str, int] = {}
+    for r in queries.p5_found(spark, sf).where("canonical_id = 0").groupBy("field").count().collect():
+        misses[r["field"]] = r["count"]
+    got = queries.p5_unmatched(spark, sf).collect()
+    assert len({(r["field"], r["value"]) for r in got}) == len(got)
+    assert {f: sum(r["rows"] for r in got if r["field"] == f) for f in {r["field"] for r in got}} == misses
+    assert "vessel_equipment.model" in misses

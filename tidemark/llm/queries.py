@@ -76,8 +76,14 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    makers = canonical.canonical_makers(table(spark, sf_dir, "vessel_equipment"), "manufacturer", table(spark, sf_dir, "manufacturer_list"))
-    return makers.where("maker_id = 0").select("value", "rows")
+    """Values of the three fields that have no entry, with their rows. A model that several makers use can fail with one
+    manufacturer only; its rows are those of the failing pairs."""
+    equipment, chunks = table(spark, sf_dir, "vessel_equipment"), table(spark, sf_dir, "tm_chunks").select("equipment_model")
+    makers, catalog = table(spark, sf_dir, "manufacturer_list"), table(spark, sf_dir, "equipment_catalog")
+    m = canonical.canonical_makers(equipment, "manufacturer", makers).where("maker_id = 0").select(F.lit("vessel_equipment.manufacturer").alias("field"), "value", "rows")
+    d = canonical.canonical_models(equipment, "model", "manufacturer", catalog, makers).where("catalog_id = 0 and not exact").groupBy("value").agg(F.sum("rows").alias("rows"))
+    e = canonical.canonical_equipment(chunks, "equipment_model", catalog, makers).where("catalog_id = 0 and not exact").select(F.lit("tm_chunks.equipment_model").alias("field"), "value", "rows")
+    return m.unionByName(d.select(F.lit("vessel_equipment.model").alias("field"), "value", "rows")).unionByName(e)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
