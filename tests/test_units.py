@@ -93,3 +93,28 @@ def test_edges(spark):
     assert {(r[0], r[2]) for r in got.collect()} == {("a", 83), (None, 21), ("l", 83)}
     empty = d.where("chunk_id = 'zz'")
     assert units.text_quantities(empty, "chunk_id").count() == 0
+
+
+def test_many_open_statements_are_solved_apart():
+    # ten dual statements of one record, each an imperial gallon: more than eight open ones
+    said = [s for g in range(1, 11) for s in (("gal", 10.0 * g, g, "number"), ("L", 45.4609 * g, g, "number"))]
+    assert [r[1] for r in units.resolve(said)] == ["gal (imp)", "L"] * 10
+
+
+def test_one_large_set_of_open_statements_is_solved_exactly():
+    said = [("gal", 10.0, 1, "number") for _ in range(14)] + [("L", 45.4609, 1, "number")]
+    assert [r[1] for r in units.resolve(said)] == ["gal (imp)"] * 14 + ["L"]
+
+
+def test_speed_of_a_text_ties_power_and_torque(spark):
+    d = spark.createDataFrame([("a", "The engine gives 100 hp at 1500 rpm and a torque of 468.2 N·m."), ("b", "The engine gives 100 hp and a torque of 468.2 N·m.")], "chunk_id string, text string")
+    got = {(r["record_id"], r["quantity"]): r["unit"] for r in units.text_quantities(d, "chunk_id").collect()}
+    assert got["a", "power"] == "PS" and got["b", "power"] == "hp"
+
+
+def test_a_dual_statement_does_not_switch_identities_off():
+    # 660.2 N·m at 1500 rpm are 141 PS, and 468.2 are 100 PS
+    said = [("hp", 141.0, 1, "number"), ("PS", 141.0, 1, "number"), ("N·m", 660.2, 2, "number"), ("rpm", 1500.0, 0, "number")]
+    assert units.resolve(said)[0][1] == "PS"
+    ranged = [("N·m", 468.2, 2, "number"), ("hp", 100.0, 1, "number"), ("hp", 80.0, -1, "number"), ("rpm", 1500.0, 0, "number")]
+    assert units.resolve(ranged)[1][1] == "PS"

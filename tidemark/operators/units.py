@@ -197,6 +197,8 @@ _NUMBER = re.compile(r"\d+(?:[,\xa0]\d{3}(?!\d))*(?:[.,]\d+)?(?:\s?[½¼¾⅛⅜
 _UNIT_TEXT = r"°\s*[CFK]\b|deg(?:rees|ree|\.)?\s+(?:Celsius|Fahrenheit|[CF]\b)|(?:US|imp\.?|UK)\s+(?:gal\w*(?:/min)?|gpm|qt)|(?:metric|short|long)\s+ton\w*|(?:foot|inch)[- ]pounds?|cu\.?\s?m\b(?:/h)?|k?N\s?[·.]?\s?m\b|[A-Za-z@0-9]*[A-Za-z@][A-Za-z@0-9]*(?:[./·-][A-Za-z]+)*[²³23]?(?:/[A-Za-z]+[²2]?)?|\"|″|”"
 _UNIT_AFTER = re.compile(r"[\s\xa0]{0,2}(" + _UNIT_TEXT + r")(\.?)(?![\w°²³/])")
 _JOIN = re.compile(r"(?<=[a-z])(?:[-‐\xad¬])[ \t]*\n(?=[a-z])")
+_SPEED = re.compile(r"(?<![\w.,/-])(" + _NUMBER.pattern + r")[\s\xa0]{0,2}(?:rpm|r\.p\.m\.|r/min|rev/min|revs?\.? per minute|min⁻¹)(?!\w)", re.I)
+_SPEED_HINT = re.compile(r"rpm|r\.p\.m|r/min|rev|min⁻¹", re.I)
 _RANGE = re.compile(r"^[\s\xa0]*(?:-|–|—|to|up to|and|bis|hasta|til|a|y|und|og)[\s\xa0]*(?:up to[\s\xa0]+)?[\s\xa0]*$")
 _HEAD = re.compile(r"^[^\n|]*?(?:[\[(](?:[\w ]+:\s*)?(?P<a>[^\[\]()\n]{1,22})[\])]|\b(?:values?|figures?|readings?|[\w ]+ in this block)\s+(?:are|is)\s+(?:given\s+)?in\s+(?P<b>[^\n]{1,22}?))\.?[ \t]*$", re.M)
 # what a heading must have, looked for first because it is quick
@@ -324,6 +326,14 @@ def text_statements(text: str | None) -> list[tuple[str, float, int, str]]:
     return out
 
 
+def text_speeds(text: str | None) -> list[tuple[str, float, int, str]]:
+    """Distinct speeds of rotation that a text states."""
+    if not text or not _SPEED_HINT.search(text):
+        return []
+    found = {number_of(m.group(1)): None for m in _SPEED.finditer(clean_text(text))}
+    return [("rpm", v, 0, "number") for v in found if v]
+
+
 def _table_statements(t: str, group: int) -> list[tuple[str, float, int, str]]:
     """Columns of a table whose head names a unit."""
     out: list[tuple[str, float, int, str]] = []
@@ -411,11 +421,41 @@ def to_common(unit: str, value: float) -> float:
     return (value + offset) * factor
 
 
+def _components(ties: list[list[int]]) -> list[set[int]]:
+    """Sets of open statements that ties connect."""
+    out: list[set[int]] = []
+    for members in ties:
+        if members:
+            joined = set(members).union(*[c for c in out if not c.isdisjoint(members)])
+            out = [c for c in out if c.isdisjoint(members)] + [joined]
+    return out
+
+
+def _least(factors: list[tuple[tuple[int, ...], dict]], fixed: dict[int, int]) -> tuple[int, float, int]:
+    """The least sum of the factors over all picks that agree with ``fixed``, by eliminating one statement after another:
+    the work grows with how many statements meet in one tie, not with how many there are."""
+    live = []
+    for own, worth in factors:
+        free = tuple(j for j, i in enumerate(own) if i not in fixed)
+        live.append((tuple(own[j] for j in free), {tuple(p[j] for j in free): w for p, w in worth.items() if all(fixed.get(i, k) == k for i, k in zip(own, p))}))
+    while names := {i for own, _ in live for i in own}:
+        out = min(sorted(names), key=lambda i: len({j for own, _ in live if i in own for j in own}))
+        met = [f for f in live if out in f[0]]
+        rest = tuple(sorted({j for own, _ in met for j in own} - {out}))
+        sizes = {i: {p[own.index(i)] for own, worth in met if i in own for p in worth} for i in (*rest, out)}
+        table = {}
+        for pick in product(*[sorted(sizes[i]) for i in rest]):
+            at = dict(zip(rest, pick))
+            table[pick] = min(tuple(map(sum, zip(*[worth[tuple({**at, out: k}[i] for i in own)] for own, worth in met]))) for k in sorted(sizes[out]))
+        live = [f for f in live if out not in f[0]] + [(rest, table)]
+    return tuple(map(sum, zip(*[worth[()] for _, worth in live])))
+
+
 def resolve(statements: list[tuple[str, float, int, str]], tolerance: float = 0.06) -> list[tuple[str, str, float, str, bool, bool]]:
     """(quantity, unit, value in the common unit, where, unique, common) of each statement.
 
-    Combinations are searched only among statements that an identity ties together and whose unit is open; at most
-    4,096 combinations of at most eight open statements in a record, beyond which the usual meanings stand."""
+    Combinations are searched only among statements that an identity ties together and whose unit is open; statements
+    that share no identity are solved apart, each set exactly and however large."""
     rpm = [v for u, v, _, _ in statements if u == "rpm"]
     said = [s for s in statements if s[0] != "rpm"]
     options = [candidates(u) for u, *_ in said]
@@ -433,36 +473,47 @@ def resolve(statements: list[tuple[str, float, int, str]], tolerance: float = 0.
     for g in groups.values():
         for a, b in zip(g, g[1:]):
             ties.append(([a, b], lambda x, y: abs(math.log(x / y)) if x > 0 and y > 0 else (0.0 if abs(x - y) <= 1.0 else 9.0)))
-    single = {q: x[0] for q, x in by_quantity.items() if len(x) == 1}
-    if len(rpm) == 1 and rpm[0] > 0 and {"power", "torque"} <= single.keys():
-        w = 2 * math.pi * rpm[0] / 60 / 1000
-        ties.append(([single["power"], single["torque"]], lambda p, t: abs(math.log(p / (t * w))) if p > 0 and t > 0 else 9.0))
-    if {"power", "pressure", "flow"} <= single.keys():
-        ties.append(([single["power"], single["pressure"], single["flow"]], lambda p, k, q: abs(math.log(p / (k * q / 60_000))) if min(p, k, q) > 0 else 9.0))
-    if {"mass", "volume"} <= single.keys():
-        for density in (0.85, 1.0):
-            ties.append(([single["mass"], single["volume"]], lambda m, v, d=density: abs(math.log(m / (v * d))) if m > 0 and v > 0 else 9.0))
-    open_ = sorted({i for members, _ in ties for i in members if len(options[i]) > 1})
-    if open_ and len(open_) <= 8 and math.prod(len(options[i]) for i in open_) <= 4096:
-        scored = []
-        for pick in product(*[options[i] for i in open_]):
-            now = list(chosen)
-            for i, u in zip(open_, pick):
-                now[i] = u
-            total, held = 0.0, 0
-            for members, residual in ties:
-                r = residual(*[to_common(now[i], said[i][1]) for i in members])
-                if r <= tolerance:
-                    total += r
-                    held += 1
-            scored.append((-held, total, sum(options[i].index(u) for i, u in zip(open_, pick)), pick))
-        scored.sort(key=lambda s: s[:3])
-        best = scored[0]
-        if best[0] < 0:
-            for k, i in enumerate(open_):
-                rivals = {s[3][k] for s in scored if s[0] == best[0] and s[1] <= best[1] + 0.01}
-                chosen[i] = best[3][k]
-                unique[i] = len(rivals) == 1
+    # a quantity stated once, be it in two units or as a range, meets the others with either end
+    single: dict[str, list[int]] = {}
+    for q, members in by_quantity.items():
+        once: dict[object, list[int]] = {}
+        for i in members:
+            once.setdefault(abs(said[i][2]) or (i,), []).append(i)
+        if len(once) == 1:
+            high, low = ([i for i in members if (said[i][2] < 0) == below] for below in (False, True))
+            single[q] = high[:1] + low[:1]
+
+    def tie(quantities: tuple[str, ...], residual) -> None:
+        if single.keys() >= set(quantities):
+            ties.extend((list(pick), residual) for pick in product(*[single[q] for q in quantities]))
+
+    for w in (2 * math.pi * v / 60 / 1000 for v in rpm[:1] if len(rpm) == 1 and v > 0):
+        tie(("power", "torque"), lambda p, t, w=w: abs(math.log(p / (t * w))) if p > 0 and t > 0 else 9.0)
+    tie(("power", "pressure", "flow"), lambda p, k, q: abs(math.log(p / (k * q / 60_000))) if min(p, k, q) > 0 else 9.0)
+    for density in (0.85, 1.0):
+        tie(("mass", "volume"), lambda m, v, d=density: abs(math.log(m / (v * d))) if m > 0 and v > 0 else 9.0)
+    for part in _components([[i for i in members if len(options[i]) > 1] for members, _ in ties]):
+        within = [t for t in ties if not part.isdisjoint(t[0])]
+        factors = []
+        for members, residual in within:
+            own = tuple(i for i in members if i in part)
+            worth = {}
+            for pick in product(*[range(len(options[i])) for i in own]):
+                at = dict(zip(own, pick))
+                r = residual(*[to_common(options[i][at[i]] if i in at else chosen[i], said[i][1]) for i in members])
+                worth[pick] = (-1, r, 0) if r <= tolerance else (0, 0.0, 0)
+            factors.append((own, worth))
+        factors += [((i,), {(k,): (0, 0.0, k) for k in range(len(options[i]))}) for i in sorted(part)]
+        marginal = {i: [_least(factors, {i: k}) for k in range(len(options[i]))] for i in part}
+        best = min(m for x in marginal.values() for m in x)
+        if best[0] == 0:
+            continue
+        fixed: dict[int, int] = {}
+        for i in sorted(part):
+            fixed[i] = min(range(len(options[i])), key=lambda k: (_least(factors, {**fixed, i: k}), k))
+            unique[i] = sum(m[0] == best[0] and m[1] <= best[1] + 0.01 for m in marginal[i]) == 1
+        for i, k in fixed.items():
+            chosen[i] = options[i][k]
     out = []
     for (u, v, _, where), unit, sure in zip(said, chosen, unique):
         if u.startswith("?") and not sure:
@@ -493,7 +544,7 @@ def _structs(rows: list[tuple]) -> list[dict]:
 @F.pandas_udf(STATEMENT)
 def _from_text(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in parts:
-        yield pd.Series([_structs(resolve(text_statements(t))) for t in texts])
+        yield pd.Series([_structs(resolve(text_statements(t) + text_speeds(t))) for t in texts])
 
 
 @F.pandas_udf(STATEMENT)
