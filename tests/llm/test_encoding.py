@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,49 @@ def test_odd_tables(spark):
     long = "Pumpen gÃ¥r. " * 20000
     got = e.repair_encoding(corpus(spark, [long]).withColumn("n", F.lit(1))).where("chunk_id = 'x0'").first()
     assert got["restored"] == "Pumpen går. " * 20000 and got["n"] == 1
+
+
+def model_of(df):
+    got = e.pair_counts(df).toPandas()
+    return e.PairModel(*(got[c].to_numpy(np.int64) for c in ("pair", "n", "apart")))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_runs_cover_little_of_clean_pages_and_all_that_was_garbled(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/tm_chunks.parquet").select("chunk_id", "text")
+    m = model_of(d)
+    assert (m.improbable * m.n).sum() / m.n.sum() < -3
+    bad = {r["chunk_id"] for r in e.repair_encoding(d).where("garbled").collect()}
+    clean = covered = 0
+    for r in d.collect():
+        runs = e.improbable_runs(r["text"], m)
+        if r["chunk_id"] not in bad:
+            clean += len(r["text"])
+            covered += sum(b - a for a, b in runs)
+        else:
+            for found in e.AS_BYTES.finditer(r["text"]):
+                assert any(a <= found.start() and found.end() <= b for a, b in runs)
+    assert 0 < covered < 0.05 * clean
+
+
+def test_a_garbling_of_a_third_of_all_rows_stays_improbable(spark):
+    bad = [garble(t, "cp1252") for t in CLEAN[:4]] * 30
+    d = corpus(spark, bad)
+    got = e.repair_encoding(d).where("garbled").collect()
+    assert {r["chunk_id"] for r in got} == {f"x{i}" for i in range(len(bad))}
+    assert {r["restored"] for r in got} == set(CLEAN[:4])
+
+
+@pytest.mark.parametrize(("source", "page"), [("cp1252", "cp850"), ("cp850", "mac_roman"), ("mac_roman", "cp1252"), ("cp437", "mac_roman")])
+def test_any_page_can_be_the_source(spark, source, page):
+    bad = CLEAN[1].replace("–", "-").encode(source).decode(page)
+    got = e.repair_encoding(corpus(spark, [bad])).where("chunk_id = 'x0'").first()
+    assert got["garbled"] and got["restored"] == CLEAN[1].replace("–", "-")
+
+
+def test_undone_as_often_as_it_was_done(spark):
+    t = "Pumpen går jevnt"
+    bad = t
+    for _ in range(5):
+        bad = garble(bad, "cp1252")
+    assert e.repair_encoding(corpus(spark, [bad])).where("chunk_id = 'x0'").first()["restored"] == t

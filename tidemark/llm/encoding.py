@@ -1,13 +1,16 @@
 """Problem 1: text that was decoded with the wrong character set.
 
-Method. One pass counts adjacent character pairs over the whole corpus. A pair is scored by the cubic pointwise
-mutual information log2 p(ab)^3 / (p(a) p(b)) (the exponent counters the bias of plain PMI to rare pairs). In each text
-the maximum-scoring segments of the negated score are the improbable runs, and only inside those runs inverse mappings
-are tried (and inside stretches of adjacent non-ASCII characters, which a common garbling makes probable):
+Method. One pass counts adjacent character pairs over the whole corpus. A pair is scored by what it adds to the mutual
+information of neighbours in the corpus, log2 of p(ab) log2(p(ab) / (p(a) p(b))), less the score under which RARE_SHARE of
+the corpus's own pairs lie: nearly all pairs score well above zero. In each text the maximum-scoring segments of the
+negated score are the improbable runs, and only inside those runs inverse mappings are tried. Pairs that stand where the
+text reads as UTF-8 bytes of another page are counted apart and speak neither for nor against themselves, so a garbling
+stays improbable even if it fills a third of the corpus.
 
 * UTF-8 bytes read through a single-byte page: characters are turned back into bytes, and every valid multi-byte
   sequence is a candidate. It is taken if its character is at least as common in the corpus as the garbled pair, or if
-  the text has other such sequences and nothing that contradicts the page. Repeated, for text that was garbled twice.
+  the text has other such sequences and nothing that contradicts the page. Repeated until nothing changes, for text that
+  was garbled more than once; every round makes the text shorter.
 * Bytes of one single-byte page read through another: taken for a character if the corpus holds the pairs it would
   form with its neighbours much more often than those it forms now.
 
@@ -38,10 +41,9 @@ from ..session import written
 # Single-byte pages by which UTF-8 text is commonly misread. cp1252 here also takes the C1 controls that
 # Latin-1 has in its gaps, as browsers do.
 PAGES = ("cp1252", "cp437", "cp850", "mac_roman", "cp1251")
-# The pages whose bytes may have been read through another one.
-SINGLE_BYTE_SOURCES = ("cp1252",)
 FORMED_PAIR_BITS = 5.0
-RARE_BITS = 13.0
+#: Share of the corpus's pairs that count as improbable; and the least mutual information that a pair counts with.
+RARE_SHARE, LEAST_BITS = 0.01, 1.0
 
 
 def _page(name: str) -> dict[str, int]:
@@ -58,7 +60,13 @@ def _page(name: str) -> dict[str, int]:
 
 
 _TO_BYTE = {name: _page(name) for name in PAGES}
-_FROM_BYTE = {name: {b: bytes([b]).decode(name, "replace") for b in range(128, 256)} for name in SINGLE_BYTE_SOURCES}
+# (page of the bytes, page they were read through) -> what each character would be
+_MOVES = {
+    (source, page): {c: d for c, b in _TO_BYTE[page].items() if (d := bytes([b]).decode(source, "replace")) not in (c, "\ufffd")}
+    for page in PAGES
+    for source in PAGES
+    if source != page
+}
 
 
 def _alphabet() -> tuple[np.ndarray, int]:
@@ -80,43 +88,73 @@ def _points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def _as_bytes() -> re.Pattern:
+    """Stretches that read as UTF-8 sequences of two to four bytes in one of the pages."""
+
+    def chars(page: dict[str, int], low: int, high: int) -> str:
+        return "[" + "".join(re.escape(c) for c, b in page.items() if low <= b <= high) + "]"
+
+    ways = []
+    for page in _TO_BYTE.values():
+        tail = chars(page, 0x80, 0xBF)
+        ways.append("(?:" + "|".join(f"{chars(page, a, b)}{tail}{{{n}}}" for a, b, n in ((0xC2, 0xDF, 1), (0xE0, 0xEF, 2), (0xF0, 0xF4, 3))) + ")+")
+    return re.compile("|".join(ways))
+
+
+AS_BYTES, ADJACENT = _as_bytes(), re.compile(r"[^\x00-\x7f]{2}")
+
+
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """(pair, n): counts of adjacent symbol pairs over every row of the column; pair = left * SYMBOLS + right.
-    Counted inside each task in a fixed-size array, so the shuffle carries one row for each distinct pair and task."""
+    """(pair, n, apart): counts of adjacent symbol pairs over every row of the column; pair = left * SYMBOLS + right; apart
+    is how many of them stand in or at a stretch that reads as bytes of UTF-8. Counted inside each task in fixed-size
+    arrays, so the shuffle carries one row for each distinct pair and task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS * SYMBOLS, np.int64)
+        total = np.zeros((2, SYMBOLS * SYMBOLS), np.int64)
+
+        def add(row: int, parts: list[str], glue: str) -> None:
+            s = SYMBOL_OF[_points(glue.join(parts))]
+            total[row] += np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=total.shape[1])
+
         for batch in batches:
-            texts, part, size = batch.column(0).to_pylist(), [], 0
+            texts, part, apart, size = batch.column(0).to_pylist(), [], [], 0
             for t in [*texts, None]:
                 if t is not None:
                     part.append(t)
                     size += len(t)
+                    if not t.isascii() and ADJACENT.search(t):
+                        apart += [t[max(0, m.start() - 1) : m.end() + 1] for m in AS_BYTES.finditer(t)]
                 if part and (size > 1_000_000 or t is None):
-                    s = SYMBOL_OF[_points("\n".join(part))]
-                    total += np.bincount(s[:-1] * SYMBOLS + s[1:], minlength=total.size)
-                    part, size = [], 0
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["pair", "n"])
+                    add(0, part, "\n")
+                    if apart:
+                        # no pair of the glue counts: U+0000 stands between the stretches
+                        add(1, apart, "\0")
+                    part, apart, size = [], [], 0
+        total[1].reshape(SYMBOLS, SYMBOLS)[0, :] = 0
+        total[1].reshape(SYMBOLS, SYMBOLS)[:, 0] = 0
+        at = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[0, at], pa.int64()), pa.array(total[1, at], pa.int64())], names=["pair", "n", "apart"])
 
-    return df.select(text).where(F.length(text) > 0).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    return df.select(text).where(F.length(text) > 0).mapInArrow(count, "pair long, n long, apart long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("apart").alias("apart"))
 
 
 class PairModel:
     """Pair counts as a dense table; log2 joint probabilities and the improbability of each pair."""
 
-    def __init__(self, pairs: np.ndarray, counts: np.ndarray):
-        n = np.zeros(SYMBOLS * SYMBOLS, np.float64)
+    def __init__(self, pairs: np.ndarray, counts: np.ndarray, apart: np.ndarray | None = None):
+        n, clean = np.zeros(SYMBOLS * SYMBOLS), np.zeros(SYMBOLS * SYMBOLS)
         n[pairs] = counts
-        self.n = n.reshape(SYMBOLS, SYMBOLS)
+        clean[pairs] = counts if apart is None else np.maximum(counts - apart, 0)
+        self.n, clean = n.reshape(SYMBOLS, SYMBOLS), clean.reshape(SYMBOLS, SYMBOLS)
         self.one = self.n.sum(axis=1)
-        total = max(1.0, self.n.sum())
-        with np.errstate(divide="ignore"):
-            joint = np.log2((self.n + 0.5) / total)
-            single = np.log2((self.one + 0.5) / total)
-        self.joint = joint.astype(np.float32)
-        cubic = 3 * joint - single[:, None] - single[None, :]
-        self.improbable = np.clip(-cubic - RARE_BITS, -6, 20).astype(np.float32)
+        self.joint = np.log2((self.n + 0.5) / max(1.0, self.n.sum())).astype(np.float32)
+        total = max(1.0, clean.sum())
+        joint, single = np.log2((clean + 0.5) / total), np.log2((clean.sum(axis=1) + 0.5) / total)
+        score = joint + np.log2(np.maximum(joint - single[:, None] - single[None, :], LEAST_BITS))
+        order = np.argsort(score, axis=None)
+        below = np.cumsum(clean.ravel()[order])
+        least = score.ravel()[order[min(np.searchsorted(below, RARE_SHARE * below[-1]), len(order) - 1)]]
+        self.improbable = np.clip(least - score, -6, 20).astype(np.float32)
 
     def bits(self, a: str, b: str) -> float:
         return float(self.joint[SYMBOL_OF[ord(a)], SYMBOL_OF[ord(b)]])
@@ -162,14 +200,10 @@ MARKS = re.compile("[\x80-\x9f�]")
 
 
 def _tested(text: str, model: PairModel) -> np.ndarray:
-    """Where inverse mappings are tried: the improbable runs, and stretches of adjacent non-ASCII characters, because a
-    garbling that fills a third of the corpus is no longer improbable in it."""
+    """Where inverse mappings are tried: the improbable runs."""
     inside = np.zeros(len(text), bool)
     for a, b in improbable_runs(text, model):
         inside[a:b] = True
-    for m in HIGH.finditer(text):
-        if m.end() - m.start() > 1:
-            inside[m.start() : m.end()] = True
     return inside
 
 
@@ -183,7 +217,7 @@ def _sequences(text: str, inside: np.ndarray, page: dict[str, int]) -> tuple[lis
             need = _NEED.get(b, 0) if b is not None else 0
             if need and i + need < end:
                 tail = [page.get(c) for c in text[i + 1 : i + 1 + need]]
-                if None not in tail and inside[i : i + 1 + need].any():
+                if None not in tail and inside[i : i + 1 + need].all():
                     try:
                         c = bytes([b, *tail]).decode("utf-8")
                     except (UnicodeDecodeError, ValueError):
@@ -197,8 +231,7 @@ def _sequences(text: str, inside: np.ndarray, page: dict[str, int]) -> tuple[lis
     return found, loose
 
 
-def _undo_utf8(text: str, model: PairModel) -> tuple[str, str]:
-    inside = _tested(text, model)
+def _undo_utf8(text: str, inside: np.ndarray, model: PairModel) -> tuple[str, str]:
     best: tuple[float, str, list] = (0.0, "", [])
     for name in PAGES:
         found, loose = _sequences(text, inside, _TO_BYTE[name])
@@ -219,52 +252,45 @@ def _undo_utf8(text: str, model: PairModel) -> tuple[str, str]:
     return "".join([*out, text[at:]]), best[1]
 
 
-def _undo_page(text: str, model: PairModel) -> tuple[str, str]:
+def _undo_page(text: str, inside: np.ndarray, model: PairModel) -> tuple[str, str]:
     """Characters whose place in another page fits their neighbours far better."""
-    inside = _tested(text, model)
+    at = [i for m in HIGH.finditer(text) for i in range(*m.span()) if inside[i]]
     best: tuple[float, str, str] = (0.0, "", text)
-    for name in PAGES:
-        for source in SINGLE_BYTE_SOURCES:
-            if source == name:
+    for (source, page), moves in _MOVES.items() if at else ():
+        out, gained, taken = list(text), 0.0, []
+        for i in at:
+            c = moves.get(text[i])
+            if c is None or not model.count(c):
                 continue
-            out, gained, taken = list(text), 0.0, []
-            for m in HIGH.finditer(text):
-                for i in range(*m.span()):
-                    b = _TO_BYTE[name].get(text[i])
-                    if b is None or not inside[i]:
-                        continue
-                    c = _FROM_BYTE[source][b]
-                    if c == text[i] or c == "�" or not model.count(c):
-                        continue
-                    left, right = (text[i - 1] if i else "\n"), (text[i + 1] if i + 1 < len(text) else "\n")
-                    # neighbours may be changed too: the one before as decided, the one after as it would be
-                    new_left, new_right = (out[i - 1] if i else "\n"), right
-                    if ord(right) > 127 and (r := _TO_BYTE[name].get(right)) is not None and model.pair(c, _FROM_BYTE[source][r]) > model.pair(c, right):
-                        new_right = _FROM_BYTE[source][r]
-                    if not (model.pair(new_left, c) and model.pair(c, new_right)):
-                        continue
-                    before = model.bits(new_left, c) - model.bits(left, text[i])
-                    after = model.bits(c, new_right) - model.bits(text[i], right)
-                    gain = before + after if min(before, after) >= -3 else 0.0
-                    if gain >= FORMED_PAIR_BITS:
-                        taken.append(min(before, after))
-                        out[i] = c
-                        gained += gain
-            # a lone change that only one neighbour speaks for is no evidence
-            if gained > best[0] and max(taken) >= 1:
-                best = (gained, f"{source}>{name}", "".join(out))
+            left, right = (text[i - 1] if i else "\n"), (text[i + 1] if i + 1 < len(text) else "\n")
+            # neighbours may be changed too: the one before as decided, the one after as it would be
+            new_left, new_right = (out[i - 1] if i else "\n"), right
+            if (r := moves.get(right) if right > "\x7f" else None) and model.pair(c, r) > model.pair(c, right):
+                new_right = r
+            if not (model.pair(new_left, c) and model.pair(c, new_right)):
+                continue
+            before = model.bits(new_left, c) - model.bits(left, text[i])
+            after = model.bits(c, new_right) - model.bits(text[i], right)
+            gain = before + after if min(before, after) >= -3 else 0.0
+            if gain >= FORMED_PAIR_BITS:
+                taken.append(min(before, after))
+                out[i] = c
+                gained += gain
+        # a lone change that only one neighbour speaks for is no evidence
+        if gained > best[0] and max(taken) >= 1:
+            best = (gained, f"{source}>{page}", "".join(out))
     return best[2], best[1]
 
 
-def undo(text: str, model: PairModel, rounds: int = 3) -> tuple[str, list[str]]:
+def undo(text: str, model: PairModel) -> tuple[str, list[str]]:
     """The text with every wrong decoding undone that can be, and the mappings that were used."""
     used: list[str] = []
-    for _ in range(rounds):
-        text, name = _undo_utf8(text, model)
-        if not name:
-            break
-        used.append(f"utf-8>{name}")
-    text, name = _undo_page(text, model)
+    inside = _tested(text, model)
+    while ADJACENT.search(text) and (got := _undo_utf8(text, inside, model))[1]:
+        text = got[0]
+        used.append(f"utf-8>{got[1]}")
+        inside = _tested(text, model)
+    text, name = _undo_page(text, inside, model)
     return text, [*used, *([name] if name else [])]
 
 
@@ -274,7 +300,7 @@ def repair_encoding(df: DataFrame, text: str = "text", counts: DataFrame | None
     Rows of plain ASCII cannot hold such characters: a filter on the JVM side keeps them out of Python."""
     spark = df.sparkSession
     got = (counts if counts is not None else pair_counts(df, text)).toPandas()  # at most SYMBOLS^2 rows
-    model = spark.sparkContext.broadcast((got["pair"].to_numpy(np.int64), got["n"].to_numpy(np.int64)))
+    model = spark.sparkContext.broadcast(tuple(got[c].to_numpy(np.int64) for c in ("pair", "n", "apart")))
     schema = T.StructType([T.StructField("garbled", T.BooleanType()), T.StructField("restored", T.StringType()), T.StructField("mappings", T.ArrayType(T.StringType())), T.StructField("lost", T.IntegerType())])
 
     @F.pandas_udf(schema)
