@@ -67,7 +67,7 @@ def test_conversations(spark):
     t = datetime(2025, 1, 1)
     rows = [(1, "c", None, "user", LONG, t), (1, "c", None, "user", LONG, t), (2, "c", None, "assistant", LONG, t), (None, "d", None, "user", "q", t), (None, "d", None, "assistant", "a", t.replace(hour=2)), (None,) * 6, (3, None, "u", "user", "q", t), (4, "", "u", "user", "q", t)]
     d = wide(spark.createDataFrame(rows, s), ["speaker", "at", "block", "k", "turn_no", "words", "fit"])
-    turns, verdict = conversations.rebuild(d)
+    turns, verdict, _ = conversations.rebuild(d)
     assert {(r["conversation_id"], r["turn_no"]) for r in turns.collect()} == {("c", 1), ("c", 2), ("d", 1), ("d", 2)}
     assert verdict.count() == 2
 

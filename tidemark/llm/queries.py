@@ -27,23 +27,22 @@ def p1_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, _ = conversations.rebuild(table(spark, sf_dir, "messages"))
+    turns, _, _ = conversations.rebuild(table(spark, sf_dir, "messages"))
     return turns.select("conversation_id", "turn_no", "id")
 
 
 def p2_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns, _ = conversations.rebuild(table(spark, sf_dir, "messages"))
-    return turns
+    messages = table(spark, sf_dir, "messages")
+    return conversations.with_content(conversations.rebuild(messages)[0], messages)
 
 
 def p2_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, verdict = conversations.rebuild(table(spark, sf_dir, "messages"))
-    return verdict
+    return conversations.rebuild(table(spark, sf_dir, "messages"))[1]
 
 
 def p2_clock_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = conversations.clean_messages(table(spark, sf_dir, "messages")).withColumn("at", F.col("created_at"))
-    return conversations.clock_offsets(conversations.sequence(t)).select("sender", F.round("offset_s", 6).alias("offset_s"), "violated")
+    offsets = conversations.rebuild(table(spark, sf_dir, "messages"))[2]
+    return offsets.withColumn("offset_s", F.round("offset_s", 6))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ with m as (select id, lower(regexp_replace(conversation_id, '[\\s{{}}()]', '', '
 o as (select * from (select *, row_number() over (partition by conversation_id, id order by created_at nulls last) as n from m) where n = 1 and conversation_id <> ''),
 s as (select id, conversation_id, content, created_at, case when r in {conversations.USER_NAMES} then 'user' when r in {conversations.ASSISTANT_NAMES} then 'assistant' when r in {conversations.SYSTEM_NAMES} then 'system' end as speaker from o),
 t as (select *, trim(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as words,
- created_at is not null and speaker is not null and coalesce(regexp_matches(content, '[\\p{{L}}\\p{{N}}]') and not regexp_matches(content, '{conversations.PLACEHOLDER}') and not (length(content) < 160 and regexp_matches(content, '{conversations.FAILURE}')), false) as fit
+ created_at is not null and speaker is not null and coalesce(regexp_matches(content, '[\\p{{L}}\\p{{N}}]') and not regexp_matches(content, '{conversations.PLACEHOLDER}') and not (regexp_matches(content, '{conversations.NOTICE}') and regexp_matches(content, '{conversations.FAILURE}')), false) as fit
  from s where speaker is distinct from 'system'),
 p as (select *, lag(speaker) over w as before, lag(words) over w as said, row_number() over w as i from t window w as (partition by conversation_id order by created_at asc nulls first, id)),
 q as (select *, i > 1 and before is not distinct from speaker and said is not distinct from words as again from p),
