@@ -34,10 +34,79 @@ def test_numbers(got):
     assert got["table0"]["alignment"] == 1.0 and got["empty0"]["words"] == 0
 
 
-def test_letter_pairs_are_brute_force(spark):
-    d = spark.createDataFrame([("aba ab",), (None,), ("",)], "text string")
-    n = {r["pair"]: r["n"] for r in q.letter_pairs(d).collect()}
-    assert n[0 * q.LETTERS + 1] == 2 and n[1 * q.LETTERS + 0] == 1 and sum(n.values()) == 7
+def test_counts_are_brute_force(spark):
+    long, short = "the pump and the valve are near the Öl tank", "the pump; 24 V"
+    d = spark.createDataFrame([("aba ab",), (None,), ("",), (f"{long}\n{short}",), (long,)], "text string").repartition(3)
+    got = {(r["kind"], r["word"]): (r["long"], r["short"]) for r in q.corpus_counts(d).collect()}
+    words = {k[1]: v for k, v in got.items() if k[0] == "word"}
+    # a word counts once a line; what holds marks or digits is no word
+    assert words == {**dict.fromkeys("and valve are near öl tank".split(), (2, 0)), "the": (2, 1), "pump": (2, 0), "v": (0, 1), "aba": (0, 1), "ab": (0, 1)}
+    n = {int(k[1]): v[0] for k, v in got.items() if k[0] == "pair"}
+    t = [" aba ab "] + [f" {x} ".lower().replace("ö", "o") for x in (f"{long}\n{short}", long)]
+    assert n[0 * q.LETTERS + 1] == sum(x.count("ab") for x in t) and n[14 * q.LETTERS + 11] == 2
+    assert sum(n.values()) == sum(len(x) - 1 for x in t)
+
+
+FOREIGN = [
+    "Przed uruchomieniem pompy należy sprawdzić poziom oleju w zbiorniku. Jeżeli łożysko jest gorące, trzeba zatrzymać silnik i zawiadomić mechanika. Uszczelkę zawsze zakłada się nową.",
+    "Перед пуском насоса необходимо проверить уровень масла в баке. Если подшипник горячий, следует остановить двигатель и сообщить механику.",
+    "启动泵之前，应检查油箱中的油位。如果轴承过热，必须停止发动机并通知轮机长。过滤器每五百小时更换一次。",
+    "Ennen pumpun käynnistämistä on tarkistettava säiliön öljytaso. Jos laakeri on kuuma, moottori on pysäytettävä ja konepäällikölle on ilmoitettava.",
+    "Pompayı çalıştırmadan önce tanktaki yağ seviyesi kontrol edilmelidir. Yatak sıcaksa motor durdurulmalı ve mühendise haber verilmelidir.",
+]
+
+
+@pytest.mark.parametrize("text", FOREIGN + [FOREIGN[0].upper(), FOREIGN[0].replace(" i ", "\ni ").replace(" w ", "\nw ")])
+def test_a_language_the_corpus_does_not_know_is_prose(spark, text):
+    d = spark.createDataFrame([(0, text)] + [(1, PROSE)] * 60, "id int, text string")
+    assert q.text_statistics(d).where("id = 0").first()["kind"] == "prose"
+
+
+def test_common_words_come_from_the_corpus(spark):
+    pump, parts = "il est dit que la pompe et la vanne sont en bon ordre", "\n".join(PARTS + ["pompe", "vanne"])
+    d = spark.createDataFrame([(t,) for t in [pump, pump + " sans bruit"] * 30 + [parts] * 30 + ["pump " * 40, " ".join(w[::-1] for w in pump.split())]], "text string")
+    common = set(q.corpus_model(d)[2])
+    assert {"il", "que", "la", "et", "sont"} <= common
+    assert not common & {"brake", "tse", "euq", "tnos"}
+
+
+@pytest.mark.parametrize("fields", [3, 6, 31])
+def test_line_autocorrelation_decides_records(spark, monkeypatch, fields):
+    text = "\n---\n".join("\n".join(f"{'field' * (1 + k % 3)} {k}: {PARTS[(i + k) % 6] if k % 2 else i * 7}" for k in range(fields)) for i in range(6))
+    filler = ["and ".join([PROSE, *PARTS]) + " field fieldfield"] * 40
+    m = q.CorpusModel(*q.corpus_model(spark.createDataFrame([(t,) for t in filler], "text string")))
+    assert q.statistics(text, m)[-1] == "table"
+    # without the evidence of periodic lengths the same lines are a list
+    monkeypatch.setattr(q, "_autocorrelation", lambda x: (0.0, 0))
+    assert q.statistics(text, m)[-1] == "list"
+
+
+def test_indent_periodicity_decides_lists(spark, monkeypatch):
+    m = q.CorpusModel(*q.corpus_model(spark.createDataFrame([(PROSE + " " + " and ".join(PARTS) + " " + LONG_NAME,)] * 40, "text string")))
+    assert q.statistics(STEPPED, m)[-1] == "list"
+    monkeypatch.setattr(q, "_autocorrelation", lambda x: (0.0, 0))
+    assert q.statistics(STEPPED, m)[-1] == "prose"
+
+
+def test_autocorrelation_is_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (3, 4, 9, 32, 33, 200):
+        x = rng.normal(size=n)
+        c = x - x.mean()
+        want = [float(np.dot(c[k:], c[:-k])) / (n - k) / float((c * c).mean()) for k in range(1, max(1, n // 2) + 1)]
+        r, lag = q._autocorrelation(x)
+        assert abs(r - max(want)) < 1e-6 and lag == int(np.argmax(want)) + 1
+    assert q._autocorrelation(np.ones(5)) == (1.0, 1) and q._autocorrelation(np.ones(2)) == (0.0, 0)
+
+
+def test_long_words_can_be_read(spark):
+    word = "Donaudampfschifffahrtselektrizitätenhauptbetriebswerkbauunterbeamtengesellschaft"
+    text = f"Die {word} ist groß und die {word} hat einen Sitz in der alten Stadt."
+    d = spark.createDataFrame([(0, text)] + [(1, " ".join(CASES["prose"][5:]))] * 40, "id int, text string")
+    r = q.text_statistics(d).where("id = 0").first()
+    assert r["kind"] == "prose" and r["readable_share"] > 0.7
 
 
 def test_empty(spark):
