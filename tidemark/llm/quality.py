@@ -87,7 +87,7 @@ def _letter_table() -> np.ndarray:
         t[65 + i] = i
     for c in range(0xC0, 0x250):
         if chr(c).isalpha():
-            base = {"ø": "o", "ł": "l", "đ": "d", "ß": "s", "æ": "a"}.get(chr(c).lower()) or unicodedata.normalize("NFKD", chr(c))[0].lower()
+            base = {"ø": "o", "ı": "i", "ł": "l", "đ": "d", "ß": "s", "æ": "a"}.get(chr(c).lower()) or unicodedata.normalize("NFKD", chr(c))[0].lower()
             t[c] = ord(base) - 97 if "a" <= base <= "z" else 26
     return t
 
