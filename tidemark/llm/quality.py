@@ -57,8 +57,8 @@ STATS = T.StructType(
 LETTERS = 28  # a to z without accents, any other Latin letter, word boundary
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"(?<![^\W_])\d{1,9}(?![^\W_])")
-_TOKEN = re.compile(r"[^\W_]+")
 _END = re.compile(r"[.!?:;…。！？।][\"'”’»)\]]*\s*$")
+_MARKS, _CLOSERS = ".!?:;…。！？।", "\"'”’»)]"
 # the end of a sentence: its mark after a letter, or one of the marks that need no space
 _SENTENCE = re.compile(r"[^\W\d_][\"'”’»)\]]*[.!?…][\"'”’»)\]]*(?=\s|$)|[。！？।؟]")
 _FOREIGN = re.compile(r"[^\W\d_\x00-\u024f]")
@@ -92,7 +92,16 @@ def _letter_table() -> np.ndarray:
     return t
 
 
-_LETTER = _letter_table()
+def _class_table() -> np.ndarray:
+    """1 for letters and what else a word has, 2 for digits, 0 for all other characters; beyond the basic plane only the
+    ideographs are letters."""
+    t = np.zeros(0x110000, np.uint8)
+    t[:0x10000] = [(2 if c.isdecimal() else 1) if c.isalnum() else 0 for c in map(chr, range(0x10000))]
+    t[0x20000:0x33480] = 1
+    return t
+
+
+_LETTER, _CLASS = _letter_table(), _class_table()
 _VOWEL = np.isin(np.arange(LETTERS), [ord(c) - 97 for c in "aeiouy"])
 COUNTS = "kind string, word string, long bigint, short bigint"
 
@@ -296,14 +305,16 @@ def statistics(text: str | None, model: CorpusModel) -> tuple:
         alnum, filled = len(raw.translate(None, _NOT_ALNUM)), len(raw.translate(None, _SPACE))
         odd = len(raw.translate(None, _NOT_ODD))
         marks = filled - alnum
-        numbers = sum(len(w) for w in raw.translate(_ALNUM_OR_SPACE).split() if w.isdigit() and len(w) <= 9) if raw.translate(None, _NOT_DIGIT) else 0
+        numbers = sum(len(w) for w in filter(bytes.isdigit, raw.translate(_ALNUM_OR_SPACE).split()) if len(w) <= 9) if raw.translate(None, _NOT_DIGIT) else 0
     else:
-        letters_only = _WORD.findall(text)
-        alnum, filled = sum(map(len, _TOKEN.findall(text))), sum(len(w) for x in told for w in x)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kinds = _CLASS[code]
+        letters_only = np.where(kinds == 1, code, 32).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass").split()
+        alnum, filled = int(np.count_nonzero(kinds)), sum(len(w) for x in told for w in x)
         marks, numbers = filled - alnum, sum(map(len, _NUMBER.findall(text)))
         odd = marks - sum(map(text.count, _USUAL))
     symbol_ratio = odd / filled
-    ends = sum(1 for x in lines if _END.search(x)) / len(lines)
+    ends = sum(1 for x in lines if (c := x.rstrip()[-1]) in _MARKS or c in _CLOSERS and _END.search(x)) / len(lines)
     is_common = model.common.__contains__
     hits = [sum(map(is_common, w)) for w in told]
     common = sum(hits) / n_words
@@ -352,7 +363,7 @@ def statistics(text: str | None, model: CorpusModel) -> tuple:
         # of a language that the corpus does not know, neither way can be read
         if backwards > 0.35 and sum(model.readable[w[::-1]] for w in letters_only) < 0.6 * size:
             backwards = 0.0
-        turned_common = sum(1 for x in told for w in x if w[::-1].strip(".,;:!?") in model.common) / n_words
+        turned_common = sum(1 for x in told for w in x if w[::-1].strip(".,;:!?") in model.common) / n_words if backwards > 0 else 0.0
         backwards = max(backwards, 1.0 if turned_common > 0.15 and turned_common > 2 * common else 0.0)
 
     noise = marks / filled
