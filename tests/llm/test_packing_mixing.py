@@ -94,3 +94,44 @@ def test_empty(spark):
     mix, report = mixing.mixture(d, targets)
     assert mix.count() == 0 and report.first()["actual_share"] == 0
     assert mix.where(F.col("copies") > 0).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, 20, 41, 100])
+def test_memberships_always_sum_to_one(k):
+    for p in (np.full(k, 1 / k), np.eye(k)[0], np.random.default_rng(k).dirichlet(np.ones(k))):
+        q = mixing.in_steps(p)
+        assert abs(q.sum() - 1) < 1e-9 and np.allclose(q * mixing.STEPS, np.round(q * mixing.STEPS))
+        assert np.abs(q - p).max() < 1 / mixing.STEPS + 1e-9
+
+
+def test_sample_bound_is_exact_and_repeated_texts_are_one_row_each(spark):
+    rows = [(i, "a", "x") for i in range(500)] + [(1000 + i, "b", "y") for i in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    prior, table = mixing.fit_classifier(d, ["a", "b"], 60)
+    # one token a text: the likelihood gives away how many rows were read
+    n = [np.exp(-table[i].min()) * 0.1 - 0.1 * mixing.BUCKETS for i in (0, 1)]
+    assert 45 <= round(n[0]) <= 60 and round(n[1]) == 40
+
+
+def test_a_name_is_evidence_and_the_text_too(spark):
+    d = documents(spark)
+    targets = spark.createDataFrame([("manual", 0.6, 1), ("note", 0.4, 2)], "source string, target_share double, max_repeats int")
+    members, names, *_ = mixing.memberships(d, targets)
+    own = [r["p"][names.index(r["source"])] for r in members.where("source is not null").collect()]
+    assert min(own) > 0.5 and np.mean(own) > 0.9
+    rng = np.random.default_rng(0)
+    prior, table = np.log([0.5, 0.5]), np.log(rng.dirichlet(np.ones(mixing.BUCKETS), 2)).astype(np.float32)
+    ids = [int(np.argmax(table[0] - table[1]))]
+    assert mixing.posterior(ids, -1, prior, table)[0] > mixing.posterior([], -1, prior, table)[0] == 0.5
+    assert mixing.posterior(ids, 1, prior, table)[1] < mixing.posterior([], 1, prior, table)[1]
+
+
+def test_split_documents_are_those_the_packer_cut(spark):
+    d = spark.createDataFrame([(1, 999), (2, 1000), (3, 1001), (4, 5000), (5, 0)], "doc_id long, tokens int")
+    assert {r["doc_id"] for r in packing.pack(d, 1000).where("part > 0").collect()} == {3, 4}
+
+
+def test_lanes_follow_the_bins(spark):
+    # no loose items at all: gaps are spread over as many lanes as there are shares of bins
+    d = spark.createDataFrame([(i, 600) for i in range(400)], "doc_id long, tokens int")
+    assert packing.pack(d, 1000, share_size=50).groupBy("block_id").count().count() == 400

@@ -45,7 +45,9 @@ def pack(sized: DataFrame, capacity: int, key: str = "doc_id", share_size: int =
     items = items_of(sized, capacity, key)
     counts = {r["class"]: r["n"] for r in items.groupBy("class").agg(F.count("*").alias("n")).collect()}  # CLASSES rows at most
     shares = {k: max(1, -(-n // share_size)) for k, n in counts.items()}
-    lanes = max(1, -(-(counts.get(CLASSES, 0) + sum(k * shares[k] for k in shares if k < CLASSES)) // share_size))
+    # lanes hold loose items and the gaps of bins, whichever are more
+    loose_items, bins = counts.get(CLASSES, 0) + sum(k * shares[k] for k in shares if k < CLASSES), sum(n // k for k, n in counts.items() if k < CLASSES)
+    lanes = max(1, -(-max(loose_items, bins) // share_size))
     of_class = F.create_map(*[F.lit(x) for k in sorted(shares) for x in (k, shares[k])])[F.col("class")] if shares else F.lit(1)
     t = items.withColumn("share", F.pmod(F.xxhash64(key, "part"), of_class).cast("int"))
     inside = Window.partitionBy("class", "share").orderBy(F.col("size").desc(), F.col(key), "part")

@@ -86,8 +86,8 @@ def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    capacity = int(table(spark, sf_dir, "pack_profile").first()["capacity_tokens"])
-    return packing.oversize(table(spark, sf_dir, "documents").select("doc_id", "text"), capacity).select("doc_id")
+    """The documents that the packer had to split."""
+    return p6_blocks(spark, sf_dir).where("part > 0").select("doc_id").distinct()
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +106,7 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mixture(tokens.with_tokens(docs), table(spark, sf_dir, "mix_targets"))
+    return mixing.mixture(docs, table(spark, sf_dir, "mix_targets"))
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
