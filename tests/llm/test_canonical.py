@@ -61,3 +61,28 @@ def test_distance():
 def test_empty(spark, lists):
     d = spark.createDataFrame([], T.StructType([T.StructField("m", T.StringType())]))
     assert c.canonical_makers(d, "m", lists[0]).count() == 0 and c.canonical_equipment(d, "m", lists[1], lists[0]).count() == 0
+
+
+@pytest.mark.parametrize("typed, entry, fits", [("SEREIS9", "SERIES9", True), ("KE683MKLI", "KE683MKII", True), ("KE683MKIII", "KE683MKII", False), ("KE683MKIIC", "KE683MKII", False), ("KE683MKIIS", "KE683MKIIC", False), ("KF683", "KE683", False), ("KE684", "KE683", False), ("KE6B3", "KE683", True), ("SERIES19", "SERIES9", False), ("SERLES9", "SERIES9", True)])
+def test_designations_stand_one_slip_in_long_groups_only(typed, entry, fits):
+    assert (c.form_cost(typed, entry) <= 1) is fits
+    if fits:
+        assert set(c.form_keys(typed)) & set(c.form_keys(entry))
+
+
+def test_slips_in_models_and_values_of_any_length(spark):
+    m = spark.createDataFrame([(1, "Internationalmotorenwerke Hansen", [])], "maker_id long, manufacturer string, also_known_as array<string>")
+    k = spark.createDataFrame([(10, "Internationalmotorenwerke Hansen", "SERIES 9"), (11, "Internationalmotorenwerke Hansen", "A-1"), (12, "Internationalmotorenwerke Hansen", "SERIES 9 TYPE 27 FRAME 1234567890")], "catalog_id long, manufacturer string, model string")
+    makers = spark.createDataFrame([("Intrnationlmotorenwerke Hansen",), ("Internationalmotornwreke",)], "manufacturer string")
+    assert {r["maker_id"] for r in c.canonical_makers(makers, "manufacturer", m).collect()} == {1}
+    models = spark.createDataFrame([("SEREIS 9", None), ("B-1", None)], "model string, manufacturer string")
+    assert {r["value"]: r["catalog_id"] for r in c.canonical_models(models, "model", "manufacturer", k, m).collect()} == {"SEREIS 9": 10, "B-1": 0}
+    both = spark.createDataFrame([("Internationalmotorenwerke Hansen SEREIS-9",), ("SERIES 9 TYPE 27 FRAME 1234567890 Hansen Internationalmotorenwerke",)], "equipment_model string")
+    assert sorted(r["catalog_id"] for r in c.canonical_equipment(both, "equipment_model", k, m).collect()) == [10, 12]
+
+
+def test_few_python_nodes(spark, lists):
+    d = spark.createDataFrame([("Korvane", "KE-683")], "manufacturer string, model string")
+    e = spark.createDataFrame([("Korvane KE-683",)], "equipment_model string")
+    for df in c.canonical(d, e, lists[1], lists[0]).values():
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0

@@ -61,27 +61,28 @@ def p4_text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(hint, "chunk_id").groupBy("defect", "has_text_layer").agg(F.count("*").alias("chunks"))
 
 
+def _canonical(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    equipment, chunks = table(spark, sf_dir, "vessel_equipment").select("manufacturer", "model"), table(spark, sf_dir, "tm_chunks").select("equipment_model")
+    return canonical.canonical(equipment, chunks, table(spark, sf_dir, "equipment_catalog"), table(spark, sf_dir, "manufacturer_list"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    equipment, chunks = table(spark, sf_dir, "vessel_equipment"), table(spark, sf_dir, "tm_chunks").select("chunk_id", "equipment_model")
-    makers, catalog = table(spark, sf_dir, "manufacturer_list"), table(spark, sf_dir, "equipment_catalog")
-    m = canonical.canonical_makers(equipment, "manufacturer", makers).where("not exact").select(F.col("value").alias("manufacturer"), F.col("maker_id").alias("canonical_id"))
-    by_maker = equipment.join(m, "manufacturer").select(F.lit("vessel_equipment.manufacturer").alias("field"), F.col("id").cast("string").alias("record_id"), "canonical_id")
-    d = canonical.canonical_models(equipment, "model", "manufacturer", catalog, makers).where("not exact")
-    same = equipment["model"].eqNullSafe(d["value"]) & equipment["manufacturer"].eqNullSafe(d["maker_value"])
-    by_model = equipment.join(d, same).select(F.lit("vessel_equipment.model").alias("field"), F.col("id").cast("string").alias("record_id"), F.col("catalog_id").alias("canonical_id"))
-    e = canonical.canonical_equipment(chunks, "equipment_model", catalog, makers).where("not exact").select(F.col("value").alias("equipment_model"), F.col("catalog_id").alias("canonical_id"))
-    by_chunk = chunks.join(e, "equipment_model").select(F.lit("tm_chunks.equipment_model").alias("field"), F.col("chunk_id").alias("record_id"), "canonical_id")
+    got = {k: d.where("not exact") for k, d in _canonical(spark, sf_dir).items()}
+    equipment, chunks = table(spark, sf_dir, "vessel_equipment").select(F.col("id").cast("string").alias("record_id"), "manufacturer", "model"), table(spark, sf_dir, "tm_chunks").select(F.col("chunk_id").alias("record_id"), "equipment_model")
+    by_maker = equipment.join(got["maker"], equipment["manufacturer"] == got["maker"]["value"]).select(F.lit("vessel_equipment.manufacturer").alias("field"), "record_id", F.col("maker_id").alias("canonical_id"))
+    same = (equipment["model"] == got["model"]["value"]) & equipment["manufacturer"].eqNullSafe(got["model"]["maker_value"])
+    by_model = equipment.join(got["model"], same).select(F.lit("vessel_equipment.model").alias("field"), "record_id", F.col("catalog_id").alias("canonical_id"))
+    by_chunk = chunks.join(got["both"], chunks["equipment_model"] == got["both"]["value"]).select(F.lit("tm_chunks.equipment_model").alias("field"), "record_id", F.col("catalog_id").alias("canonical_id"))
     return by_maker.unionByName(by_model).unionByName(by_chunk)
 
 
 def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of the three fields that have no entry, with their rows. A model that several makers use can fail with one
     manufacturer only; its rows are those of the failing pairs."""
-    equipment, chunks = table(spark, sf_dir, "vessel_equipment"), table(spark, sf_dir, "tm_chunks").select("equipment_model")
-    makers, catalog = table(spark, sf_dir, "manufacturer_list"), table(spark, sf_dir, "equipment_catalog")
-    m = canonical.canonical_makers(equipment, "manufacturer", makers).where("maker_id = 0").select(F.lit("vessel_equipment.manufacturer").alias("field"), "value", "rows")
-    d = canonical.canonical_models(equipment, "model", "manufacturer", catalog, makers).where("catalog_id = 0 and not exact").groupBy("value").agg(F.sum("rows").alias("rows"))
-    e = canonical.canonical_equipment(chunks, "equipment_model", catalog, makers).where("catalog_id = 0 and not exact").select(F.lit("tm_chunks.equipment_model").alias("field"), "value", "rows")
+    got = _canonical(spark, sf_dir)
+    m = got["maker"].where("maker_id = 0").select(F.lit("vessel_equipment.manufacturer").alias("field"), "value", "rows")
+    d = got["model"].where("catalog_id = 0 and not exact").groupBy("value").agg(F.sum("rows").alias("rows"))
+    e = got["both"].where("catalog_id = 0 and not exact").select(F.lit("tm_chunks.equipment_model").alias("field"), "value", "rows")
     return m.unionByName(d.select(F.lit("vessel_equipment.model").alias("field"), "value", "rows")).unionByName(e)
 
 
