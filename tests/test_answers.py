@@ -6,7 +6,7 @@ from tidemark.functions import answers as a
 from tidemark.operators import layout
 from tidemark.sources import tables
 
-FULL = "FIELD_NOTE_IDS: 3, x, 7\nSAFETY_INFO: none\nSHOW_DOCUMENT_EXCERPTS:\nEXCERPTS_USED: 1,2\nANSWER: Turn it."
+FULL = "\n".join(f"###{m}###\n{t}" for m, t in (("FIELD_NOTE_IDS", "3, x, 7"), ("SAFETY_INFO", "none"), ("SHOW_DOCUMENT", ""), ("EXCERPTS_USED", "1,2"), ("ANSWER", "Turn it.")))
 
 
 def parse(spark, raw):
@@ -14,11 +14,16 @@ def parse(spark, raw):
 
 
 def test_reply(spark):
-    assert parse(spark, FULL) == {"field_note_ids": [3, 7], "safety_info": None, "show_excerpts": [], "excerpts_used": [1, 2], "answer": "Turn it."}
-    for raw in ("no markers", FULL.replace("ANSWER:", ""), "ANSWER: x\n" + FULL.replace("ANSWER: Turn it.", "")):
+    assert parse(spark, FULL) == {"field_note_ids": [3, 7], "safety_info": "", "show_excerpts": [], "excerpts_used": [1, 2], "answer": "Turn it."}
+    swapped = FULL.replace("###SAFETY_INFO###", "#").replace("###FIELD_NOTE_IDS###", "###SAFETY_INFO###\n###FIELD_NOTE_IDS###")
+    for raw in ("no markers", FULL.replace("###ANSWER###", ""), swapped):
         got = parse(spark, raw)
-        assert got["answer"] == raw and got["excerpts_used"] is None
-    assert parse(spark, FULL.replace("1,2", "NONE"))["excerpts_used"] is None
+        assert got == {"field_note_ids": [], "safety_info": "", "show_excerpts": [], "excerpts_used": None, "answer": raw}
+    # none said is not the same as nothing said
+    assert parse(spark, FULL.replace("1,2", "NONE"))["excerpts_used"] == [] == parse(spark, FULL.replace("1,2", ""))["excerpts_used"]
+    assert parse(spark, FULL.replace("none", "Wear gloves."))["safety_info"] == "Wear gloves."
+    # markers are looked for behind each other; the answer may name one again
+    assert parse(spark, FULL + " ###ANSWER### again")["answer"] == "Turn it. ###ANSWER### again"
     assert parse(spark, None)["answer"] is None
 
 
@@ -27,10 +32,42 @@ def test_kept_excerpts(spark):
     assert [r[0] for r in d.select(a.kept_excerpts(F.col("u"), F.col("x"))).collect()] == [["a", "b"], [], ["b"], ["a", "b"]]
 
 
-def test_unit_hints(spark):
-    t = "At 220 degrees F and 300 psi, not ABC-220F; 50 foot-pounds, 6\" and 12 in."
-    got = [(r["label"], round(r["converted"], 1)) for r in spark.createDataFrame([(t,)], "t string").select(a.unit_hints(F.col("t")).alias("h")).first()["h"]]
-    assert got == [("°C", 104.4), ("bar", 20.7), ("MPa", 2.1), ("Nm", 67.8), ("mm", 152.4)]
+def expand(spark, t):
+    return spark.createDataFrame([(t,)], "t string").select(a.expanded_units(F.col("t"))).first()[0]
+
+
+@pytest.mark.parametrize(
+    "text, added",
+    [
+        ("at 220 degrees F", "220°F (104.4°C)"),
+        ("-10°F and 300 psi", "-10°F (-23.3°C), 300psi (20.7bar, 2.1MPa)"),
+        ("50 ft-lbs", "50lb-ft (67.8N·m)"),
+        ("50 foot-pounds", "50lb-ft (67.8N·m), 50ft (15.2m)"),
+        ("lbf-ft: 50 lbf-ft, 20 lbft", "50lb-ft (67.8N·m), 20lb-ft (27.1N·m)"),
+        ('6" or 2.5 inches', "6in (152.4mm), 2.5in (63.5mm)"),
+        ("12 in and 1000 feet", "1000ft (304.8m)"),
+        ("9000 psi", "9000psi (620.5bar, 62.1MPa)"),
+    ],
+)
+def test_units_are_expanded(spark, text, added):
+    assert expand(spark, text) == f"{text} [{added}]"
+
+
+def test_texts_without_units_stay(spark):
+    assert expand(spark, "valve 12 in, ABC-220") == "valve 12 in, ABC-220" and expand(spark, None) is None and expand(spark, "") == ""
+    # half to even on the exact value, no commas
+    d = spark.createDataFrame([(0.25,), (0.35,), (1234567.05,), (-0.04,)], "x double")
+    assert [r[0] for r in d.select(a.one_decimal(F.col("x"))).collect()] == [f"{x:.1f}" for x in (0.25, 0.35, 1234567.05, -0.04)]
+
+
+def test_transcripts_and_replies(spark):
+    d = spark.createDataFrame([(" read me ",), ("NO_TEXT_FOUND",), ("",), (None,)], "t string")
+    assert [r[0] for r in d.select(a.transcript(F.col("t"))).collect()] == [f"{a.TRANSCRIBED}\n\nread me", None, None, None]
+    t = spark.createDataFrame([(["one", "NO_TEXT_FOUND", "two"],), (["x"],), (["NO_TEXT_FOUND"],), ([],)], "t array<string>")
+    assert [r[0] for r in t.select(a.tiled_transcript(F.col("t"))).collect()] == ["[Tile 1 of 3]\none\n\n[Tile 3 of 3]\ntwo", "x", "", ""]
+    j = spark.createDataFrame([('```json\n[{"m": "x"}, {"m": null}]\n```',), ('[{"m": "y"}]',), ("sorry",)], "r string")
+    assert [r[0] and [x["m"] for x in r[0]] for r in j.select(a.parsed_items(F.col("r"), "struct<m: string>")).collect()] == [["x", None], ["y"], None]
+    assert spark.createDataFrame([("Fuel_ABC_DE12_RevA.pdf",)], "f string").select(a.drawing_number(F.col("f"), "ABC")).first()[0] == "DE12"
 
 
 def test_labels(spark):
@@ -72,6 +109,13 @@ def test_providers(spark):
     assert [r["text"] for r in providers.embeddable(e).collect()] == ["x"]
 
 
+def test_appended_rows_follow_the_highest_id(spark):
+    store = spark.createDataFrame([(7,), (3,)], "id long")
+    new = spark.createDataFrame([("b", [1], 2), ("a", None, 1)], "t string, c array<int>, k int")
+    assert [tuple(r) for r in tables.appended(store, new, ["k"], ["c"]).orderBy("id").collect()] == [(8, "a", None, 1), (9, "b", "[1]", 2)]
+    assert tables.appended(store.where("id > 9"), new, ["k"], []).agg(F.min("id")).first()[0] == 1
+
+
 def test_tables(spark):
     n = spark.createDataFrame([("f",), ("zz",)], "source_file string")
     s = spark.createDataFrame([("f", 1), ("f", 2), ("g", 3)], "source_file string, c int")

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import chunking, history, library, merging, retrieval
@@ -86,10 +87,86 @@ def test_tables(spark):
 def test_greedy_batches(spark):
     sizes = [3, 4, 5, 1, 9, 2]
     d = spark.createDataFrame(list(enumerate(sizes)), "k long, s int")
-    got = [r["batch"] for r in chunking.greedy_batches(d, "k", F.col("s"), F.lit(0), 3, 8).orderBy("k").collect()]
+    got = [r["batch"] for r in chunking.greedy_batches(d, "k", "s", 3, 8).orderBy("k").collect()]
     assert got == [0, 0, 1, 1, 2, 3]
 
 
+@pytest.mark.parametrize("block", [7, 20, 1000])
+def test_greedy_batches_run_across_blocks(spark, block):
+    rng = np.random.default_rng(block)
+    sizes = rng.integers(0, 40, 300).tolist() + [500, 0, 0, 0, 0, 0, 0, 60, 61]
+    d = spark.createDataFrame(list(enumerate(sizes)), "k long, s int")
+    want, batch, used, n = [], 0, 0, 0
+    for x in sizes:
+        if n and (n >= 5 or used + x > 60):
+            batch, used, n = batch + 1, 0, 0
+        used, n = used + x, n + 1
+        want.append(batch)
+    got = [r["batch"] for r in chunking.greedy_batches(d, "k", "s", 5, 60, block).orderBy("k").collect()]
+    assert got == want
+    assert chunking.greedy_batches(d.where("k < 0"), "k", "s").count() == 0
+
+
+def test_dense_chunks_repeat_the_head(spark):
+    text = "Intro\n| A | B |\n|---|---|\n" + "\n".join(f"| {i} | x |" for i in range(1, 9))
+    d = spark.createDataFrame([("c", text, 4)], "chunk_id string, text string, page_number int")
+    got = [r["text"] for r in chunking.dense_chunks(chunking.markdown_tables(d), d).orderBy("first_row").collect()]
+    assert got[1] == "(Table 1 on page 4, rows 7-8 of 8)\n\n| A | B |\n|---|---|\n| 7 | x |\n| 8 | x |" and len(got) == 2
+
+
+def test_transcripts_go_to_the_primary_chunk(spark):
+    c = spark.createDataFrame([("f-p1", "f", 1, "old"), ("f-p1-densetable0", "f", 1, "t"), ("f-p2", "f", 2, "keep"), ("f-p2-densetable0", "f", 2, "t2")], "chunk_id string, source_file string, page_number int, text string")
+    t = spark.createDataFrame([("f", 1, "new"), ("f", 2, None)], "source_file string, page_number int, transcript string")
+    assert sorted(map(tuple, chunking.with_transcripts(c, t).select("chunk_id", "text").collect())) == [("f-p1", "new"), ("f-p2", "keep"), ("f-p2-densetable0", "t2")]
+
+
+def test_ingest_is_idempotent(spark):
+    store = spark.createDataFrame([("a1", "a.pdf", "x"), ("b1", "b.pdf", "y"), ("c1", "c.pdf", "z"), ("e1", "e.pdf", "e")], "chunk_id string, source_file string, text string")
+    known = spark.createDataFrame([("a.pdf", "1"), ("b.pdf", "2"), ("c.pdf", "3"), ("e.pdf", "5")], "filename string, hash string")
+    listing = spark.createDataFrame([("a.pdf", "1"), ("b.pdf", "22"), ("c2.pdf", "3"), ("d.pdf", "4")], "filename string, hash string")
+    arrived = spark.createDataFrame([("b9", "b.pdf", "new"), ("d1", "d.pdf", "n"), ("a1", "a.pdf", "x"), ("c1", "c2.pdf", "z")], "chunk_id string, source_file string, text string")
+    want = [("a1", "a.pdf", "x"), ("b9", "b.pdf", "new"), ("c1", "c2.pdf", "z"), ("d1", "d.pdf", "n"), ("e1", "e.pdf", "e")]
+    after, manifest, report = merging.ingest(store, known, listing, arrived)
+    assert sorted(map(tuple, after.collect())) == want
+    assert {r["filename"]: r["status"] for r in report.collect()} == {"a.pdf": "unchanged", "b.pdf": "changed", "c2.pdf": "renamed", "d.pdf": "new", "e.pdf": "removed"}
+    again, same, report = merging.ingest(after, manifest, listing, arrived)
+    assert sorted(map(tuple, again.collect())) == want and sorted(map(tuple, same.collect())) == sorted(map(tuple, manifest.collect()))
+    assert {r["status"] for r in report.collect()} == {"unchanged", "removed"}
+
+
+def test_vectors_of_several_widths(spark):
+    v = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 0.0]), (5, None), (6, [0.0, 1.0, 0.0]), (7, [])]
+    d = spark.createDataFrame(v, "vec_id long, embedding array<float>")
+    q = d.withColumnRenamed("vec_id", "query_id")
+    for block in (4096, 2):
+        got = {}
+        for r in retrieval.vector_topk(d, q, 5, query_block=block).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        assert got == {1: {1, 2}, 2: {1, 2}, 3: {3, 6}, 6: {3, 6}}
+
+
+def test_tfidf_is_brute_force(spark):
+    import math
+    from collections import Counter
+
+    texts = ["the pump and the valve leak", "pump pump oil", "valve of the oil head", None, "", "the and of"]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stop = set(retrieval.stop_words())
+    bags = {i: Counter(w for w in t.split() if w not in stop) for i, t in enumerate(texts) if t is not None}
+    n = len(bags)
+    idf = {w: math.log((1 + n) / (1 + sum(w in b for b in bags.values()))) + 1 for b in bags.values() for w in b}
+    question = "does the pump leak oil"
+    q = Counter(w for w in question.split() if w in idf)
+    want = {}
+    for i, b in bags.items():
+        dot, norm = sum(b[w] * idf[w] * q[w] * idf[w] for w in q), math.sqrt(sum((k * idf[w]) ** 2 for w, k in b.items()))
+        if dot > 0:
+            want[i] = round(dot / norm, 9)
+    got = {r["doc_id"]: r["score"] for r in retrieval.tfidf_topk(d, question, 10).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
+    assert {"the", "and", "of"} <= stop
+
+
 def test_history_ties_and_gaps(spark):
     s = "id long, conversation_id string, user_name string, role string, content string, created_at timestamp, feedback string"
     from datetime import datetime as T

@@ -1,3 +1,4 @@
+import pytest
 import io
 import json
 import zipfile
@@ -61,3 +62,19 @@ def test_ingest_is_idempotent(spark):
     once = activity.ingest_batch(store, batch, [F.col("n")])
     twice = activity.ingest_batch(once, batch, [F.col("n")])
     assert sorted(map(tuple, once.collect())) == sorted(map(tuple, twice.collect())) == [("a", "2", 1), ("b", "y", 2)]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_dir
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda k, d=None: folder if k == "spark.checkpoint.dir" else d, set=lambda k, v: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: SimpleNamespace(get=lambda k: None)))
+
+    assert shared_dir(session("yarn", "hdfs:///shared")) == "hdfs:///shared"
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[8]"))

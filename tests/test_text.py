@@ -62,6 +62,8 @@ def test_codes(spark):
 
 def test_heading(spark):
     assert one(spark, "1.2 First Part\nx\n3 Second Part\ny", tx.last_heading) == "3 Second Part"
+    assert one(spark, "4.5.1. Additional Functions\nText", tx.last_heading) == "4.5.1 Additional Functions"
+    assert one(spark, "  2. Safety/Care-1\n", tx.last_heading) == "2 Safety/Care-1"
     assert one(spark, "nothing here", tx.last_heading) is None
 
 

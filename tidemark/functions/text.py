@@ -13,7 +13,7 @@ REVERSED_FACTOR = 2
 # A separator row of a table; codes such as 4367-1 or V-204; numbered headings; parts of a file name.
 SEPARATOR_ROW = r"^\|[\s\-|]*\|$"
 CODE = r"\b(\d{2,5}\s*-\s*\d{1,4}|[A-Za-z]{1,4}-\d{1,5})\b"
-HEADING = r"(?m)^(\d+(?:\.\d+)*)[ \t]+([A-Z][A-Za-z][^\n]{2,60})$"
+HEADING = r"(?m)^\s*(\d+(?:\.\d+){0,3})\.?\s+([A-Z][A-Za-z0-9 /\-]{2,60})"
 FILE_NAME = r"(?i)^([A-Za-z0-9]+)_([A-Za-z0-9]+)_([A-Za-z0-9]+)_([A-Za-z0-9]+)_(Rev[A-Za-z0-9]+)\.pdf$"
 COVER_PAGES, COVER_CHARS, HEAD_CHARS, VISION_CHARS = 20, 500, 40, 200
 
@@ -29,9 +29,9 @@ def _bound(value: Column, use) -> Column:
 
 
 def _rate(letters: Column, pairs: tuple[str, ...]) -> Column:
-    # the letters of a pair differ, so its occurrences never overlap and taking them out counts them
-    left = [F.length(letters) - F.length(F.replace(letters, F.lit(p), F.lit(""))) for p in pairs]
-    hits = sum(left[1:], left[0]) / 2
+    # a look-ahead counts pairs that share a letter; pairs of one first letter are one branch
+    heads = dict.fromkeys(p[0] for p in pairs)
+    hits = F.regexp_count(letters, F.lit("(?=" + "|".join(f"{a}[{''.join(p[1] for p in pairs if p[0] == a)}]" for a in heads) + ")"))
     return F.when(F.length(letters) < LEAST_LETTERS, F.lit(0.0)).otherwise(hits / (F.length(letters) - 1))
 
 
@@ -41,7 +41,7 @@ def _letters(text: Column) -> Column:
 
 def pair_rate(text: Column) -> Column:
     """Share of adjacent ASCII letter pairs that are among the commonest twenty; 0 for fewer than 20 letters."""
-    return _bound(_letters(text), lambda x: _rate(x, COMMON_PAIRS))
+    return _rate(_letters(text), COMMON_PAIRS)
 
 
 def is_real_language(text: Column) -> Column:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
+from .numbering import numbered
 
 ROWS_PER_GROUP = 6
 # The second line of a table.
@@ -52,19 +56,107 @@ def rendered_pages(chunks: DataFrame) -> DataFrame:
     return near.join(last, "source_file").where((F.col("page_number") >= 1) & (F.col("page_number") <= F.col("last"))).select("source_file", "page_number")
 
 
-def greedy_batches(df: DataFrame, key: str, size: Column, block: Column, most_items: int = 1000, most_size: int = 250_000) -> DataFrame:
-    """(block, batch, key, size): batches in order of key that close when the next item would exceed the size or the
-    count. Greedy filling depends on all items before, so it runs within blocks of bounded size (``block``), each on its
-    own; an item larger than most_size stands alone."""
-    items = df.select(block.alias("block"), F.struct(F.col(key).alias("key"), size.cast("bigint").alias("size")).alias("item"))
-    ordered = items.groupBy("block").agg(F.sort_array(F.collect_list("item")).alias("items"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("bigint").alias("used"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("out"))
+def table_row(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.replace(c, F.lit("\n"), F.lit(" "))), " | "), F.lit(" |"))
 
-    def step(acc: Column, x: Column) -> Column:
-        close = (acc["n"] > 0) & ((acc["n"] >= most_items) | (acc["used"] + x["size"] > most_size))
-        batch = F.when(close, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(batch.alias("batch"), F.when(close, x["size"]).otherwise(acc["used"] + x["size"]).alias("used"), F.when(close, 1).otherwise(acc["n"] + 1).alias("n"), F.concat(acc["out"], F.array(batch)).alias("out"))
 
-    b = ordered.withColumn("batches", F.aggregate("items", zero, step)["out"])
-    z = b.select("block", F.explode(F.arrays_zip("items", "batches")).alias("z"))
-    return z.select("block", F.col("z.batches").alias("batch"), F.col("z.items.key").alias(key), F.col("z.items.size").alias("size"))
+def table_head(cells: Column) -> Column:
+    """The head of a table and the rule below it."""
+    return F.concat(table_row(cells), F.lit("\n|"), F.array_join(F.transform(cells, lambda c: F.lit("---")), "|"), F.lit("|"))
+
+
+def dense_chunks(rows: DataFrame, pages: DataFrame, key: str = "chunk_id", size: int = ROWS_PER_GROUP) -> DataFrame:
+    """(key, table_no, first_row, text): for each table of more than ``size`` rows a chunk of every ``size`` of them, with
+    the head of the table repeated. rows as markdown_tables gives them; pages has the key and page_number."""
+    groups = dense_groups(rows, key, size)
+    data = rows.where("row_no > 0").withColumn("g", ((F.col("row_no") - 1) / size).cast("int"))
+    body = data.groupBy(key, "table_no", "g").agg(F.sort_array(F.collect_list(F.struct("row_no", table_row(F.col("cells")).alias("line")))).alias("lines"))  # ``size`` rows
+    body = body.select(key, "table_no", (F.col("g") * size + 1).alias("first_row"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("body"))
+    head = rows.where("row_no = 0").select(key, "table_no", table_head(F.col("cells")).alias("head"))
+    t = groups.join(body, [key, "table_no", "first_row"]).join(head, [key, "table_no"]).join(pages.select(key, "page_number"), key)
+    what = F.format_string("(Table %d on page %d, rows %d-%d of %d)", "table_no", "page_number", "first_row", "last_row", "rows")
+    return t.select(key, "table_no", "first_row", F.concat(what, F.lit("\n\n"), "head", F.lit("\n"), "body").alias("text"))
+
+
+def with_transcripts(chunks: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """chunks (chunk_id, source_file, page_number, text ...) after pages were transcribed: the page's primary chunk (no part
+    of a dense table, lowest id) gets the transcript, its others go. transcripts has source_file, page_number (each page
+    once) and transcript; null transcripts change nothing."""
+    told = transcripts.where("transcript is not null")
+    pages = ["source_file", "page_number"]
+    primary = F.struct(F.col("chunk_id").rlike("-densetable\\d+$"), "chunk_id")
+    first = chunks.groupBy(*pages).agg(F.min_by("chunk_id", primary).alias("primary"))
+    t = chunks.join(told.join(first, pages), pages, "left").where(F.col("primary").isNull() | (F.col("primary") == F.col("chunk_id")))
+    return t.withColumn("text", F.coalesce("transcript", "text")).select(*chunks.columns)
+
+
+def document_parts(pages: DataFrame, size: int = 20) -> DataFrame:
+    """(source_file, part, text): the texts of a file's pages in order, each behind a line with its number, put together for
+    every ``size`` pages, as a request holds no document of any length. pages has source_file, page_number, chunk_id, text;
+    rows without a page or text are left out."""
+    p = pages.where("page_number is not null and text is not null").withColumn("part", F.floor((F.col("page_number") - 1) / size))
+    line = F.concat(F.lit("--- Page "), F.col("page_number").cast("string"), F.lit(" ---\n"), "text")
+    g = p.groupBy("source_file", "part").agg(F.sort_array(F.collect_list(F.struct("page_number", "chunk_id", line.alias("line")))).alias("lines"))  # the chunks of ``size`` pages
+    return g.select("source_file", "part", F.array_join(F.transform("lines", lambda x: x["line"]), "\n\n").alias("text"))
+
+
+def greedy_batches(df: DataFrame, key: str, size: str, most_items: int = 1000, most_size: int = 250_000, block_size: int | None = None) -> DataFrame:
+    """(batch, key, size): batches in order of key that close when the next item would exceed the size or the count; an
+    item larger than most_size stands alone. Null keys come first; keys are unique.
+
+    Greedy filling depends on all items before. A batch that begins before a block ends among the block's first
+    ``most_items`` items, so a block is told by where the batch that begins at each of these makes the next block begin:
+    ``most_items`` numbers, whatever the block's size. These tables are chained, one row of each, and then every block is
+    filled for itself. Blocks have about as many items as there are rows of all tables, so neither grows with the data."""
+    spark = df.sparkSession
+    rows = numbered(df.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size")), ["key"])
+    n = rows.count()
+    block = block_size or max(4 * most_items, int((n * most_items) ** 0.5))
+    rows = written(rows.withColumn("block", ((F.col("row_no") - 1) / block).cast("bigint")), "greedy-rows")
+    # the items that a batch from the block before can reach stand in both blocks
+    reach = rows.where((F.col("row_no") - 1) % block < most_items).where("block > 0").withColumn("block", F.col("block") - 1)
+
+    def ends(sizes: np.ndarray) -> np.ndarray:
+        """For each item the first one behind the batch that begins there."""
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        at = np.arange(len(sizes))
+        return np.maximum(np.minimum(np.searchsorted(total, total[:-1] + most_size, side="right") - 1, at + most_items), at + 1)
+
+    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_no")
+        own = int((pdf["own"]).sum())
+        step = ends(pdf["size"].to_numpy())
+        out = np.arange(len(pdf) + 1)
+        for i in range(own - 1, -1, -1):
+            out[i] = out[step[i]]
+        first = min(most_items, own)
+        return pd.DataFrame({"block": pdf["block"].iloc[:first], "entry": np.arange(first), "leave": out[:first] - own})
+
+    both = rows.withColumn("own", F.lit(True)).unionByName(reach.withColumn("own", F.lit(False))).select("block", "row_no", "size", "own")
+    table = written(both.groupBy("block").applyInPandas(exits, "block bigint, entry bigint, leave bigint"), "greedy-exits")
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        leave = {(b, e): x for b, e, x in zip(pdf["block"], pdf["entry"], pdf["leave"])}
+        out, at = [], 0
+        for b in range(int(pdf["block"].max()) + 1):
+            out.append((b, at))
+            at = leave.get((b, at), 0)
+        return pd.DataFrame(out, columns=["block", "entry"])
+
+    # one row for each block and entry: as many as a block has items
+    entries = table.groupBy(F.lit(0).alias("all")).applyInPandas(chain, "block bigint, entry bigint")
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_no")
+        step, at, n = ends(pdf["size"].to_numpy()), int(pdf["entry"].iloc[0]), len(pdf)
+        begins = np.zeros(n, np.int64)
+        while at < n:
+            begins[at] = 1
+            at = int(step[at])
+        return pdf.assign(inside=np.cumsum(begins))[["block", "key", "size", "inside"]]
+
+    kind = df.schema[key].dataType.simpleString()
+    filled = written(rows.join(entries, "block").groupBy("block").applyInPandas(fill, f"block bigint, key {kind}, size bigint, inside bigint"), "greedy-batches")
+    starts = filled.groupBy("block").agg(F.max("inside").alias("batches"))  # one row for each block
+    before = starts.select("block", F.coalesce(F.sum("batches").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return filled.join(before, "block").select((F.col("inside") + F.col("before") - 1).alias("batch"), F.col("key").alias(key), "size")

@@ -34,6 +34,16 @@ def dedupe_items(items: DataFrame) -> DataFrame:
     return g.select("item_key", F.col("f.id").alias("first_id"), F.col("f.manufacturer").alias("manufacturer"), F.col("f.model").alias("model"), "documents", "mentions")
 
 
+def item_sources(items: DataFrame) -> DataFrame:
+    """(item_key, source_document, first_id, mentions, is_first): where each piece of equipment was seen, one row for each
+    document, so that no list of them is ever put together. is_first marks the document whose row was kept."""
+    m, n = tx.normalized(F.col("manufacturer")), tx.normalized(F.col("model"))
+    key = F.when(F.length(n) >= LEAST_MODEL, F.concat_ws("|", m, n)).otherwise(F.concat_ws("|", F.lit("?"), F.coalesce("source_document", F.lit("")), F.coalesce("category", F.lit(""))))
+    g = items.where("source_document is not null").withColumn("item_key", key).groupBy("item_key", "source_document").agg(F.min("id").alias("first_id"), F.count("*").alias("mentions"))
+    first = items.withColumn("item_key", key).groupBy("item_key").agg(F.min("id").alias("kept"))
+    return g.join(first, "item_key").select("item_key", "source_document", "first_id", "mentions", (F.col("first_id") == F.col("kept")).alias("is_first"))
+
+
 def first_containing(needles: DataFrame, hay: DataFrame) -> DataFrame:
     """(needle, label): for each needle the first label whose hay contains it. needles(needle) of three characters or
     more; hay(hay, label).
@@ -83,3 +93,17 @@ def gap_summary(report: DataFrame, shown: int = 3) -> DataFrame:
     more = F.when(F.col("gap_models") > shown, F.concat(F.lit(" (+"), (F.col("gap_models") - shown).cast("string"), F.lit(" more)"))).otherwise("")
     pct = F.concat(F.bround(100.0 * F.col("covered") / (F.col("covered") + F.col("gaps")), 0).cast("int").cast("string"), F.lit("%"))
     return s.select("system", "covered", "gaps", pct.alias("pct"), F.concat(F.coalesce("listed", F.lit("")), F.coalesce(more, F.lit(""))).alias("first_gaps"))
+
+
+def gap_totals(report: DataFrame) -> DataFrame:
+    """(system, items, covered, gaps, unknown) of each system, and of all with system 'Total'."""
+    counts = [F.count("*").alias("items"), *[F.count_if(F.col("status") == s).alias(n) for s, n in (("covered", "covered"), ("gap", "gaps"), ("unknown", "unknown"))]]
+    return report.withColumn("system", F.coalesce("system", F.lit("Unknown"))).rollup("system").agg(*counts).select(F.coalesce("system", F.lit("Total")).alias("system"), "items", "covered", "gaps", "unknown")
+
+
+def image_backlog(listed: DataFrame, stored: DataFrame) -> DataFrame:
+    """(source_file, status) of every listed file: 'not indexed' if nothing of it is stored, 'has images' if a stored row
+    has one, else 'open'. stored has source_file and page_image_url."""
+    s = stored.groupBy("source_file").agg(F.count("page_image_url").alias("images"))
+    status = F.when(F.col("images").isNull(), "not indexed").when(F.col("images") > 0, "has images").otherwise("open")
+    return listed.select("source_file").distinct().join(s, "source_file", "left").select("source_file", status.alias("status"))

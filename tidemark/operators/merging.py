@@ -47,10 +47,11 @@ def audit(declared: DataFrame, stored: DataFrame, group: str = "source_file", ke
 
 
 def content_hash(df: DataFrame, group: str, text: str = "text") -> DataFrame:
-    """(group, content, parts): a hash of each group's texts that does not depend on their order: the sum of the first
-    48 bits of their SHA-256. Sums are combined in the tasks, so a group may be of any size."""
-    h = F.conv(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.groupBy(group).agg(F.sum(h).cast("decimal(38,0)").alias("content"), F.count("*").alias("parts"))
+    """(group, content, parts): a hash of each group's texts that does not depend on their order: the sums of the first and
+    of the second 64 bits of their SHA-256. Sums are combined in the tasks, so a group may be of any size."""
+    h = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    sums = [F.sum(F.conv(F.substring(h, at, 16), 16, 10).cast("decimal(20,0)").cast("decimal(38,0)")) for at in (1, 17)]
+    return df.groupBy(group).agg(F.concat_ws(".", *[x.cast("string") for x in sums]).alias("content"), F.count("*").alias("parts"))
 
 
 def renames(listing: DataFrame, known: DataFrame) -> DataFrame:
@@ -72,3 +73,19 @@ def renames(listing: DataFrame, known: DataFrame) -> DataFrame:
 def first_per_fingerprint(df: DataFrame, order: str) -> DataFrame:
     w = Window.partitionBy("document_title", "page_number", F.left("text", F.lit(80))).orderBy(order)
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+def ingest(store: DataFrame, known: DataFrame, listing: DataFrame, arrived: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(store, manifest, report) after a folder was read again, with the manifest as state.
+
+    known and listing have filename and hash; arrived has the chunks of the listed files, with store's columns. Unchanged
+    files are skipped, the chunks of changed ones replaced, those of renamed ones only renamed, new ones added; what is no
+    longer listed stays. Running it again with its own result changes nothing."""
+    report = renames(listing, known)
+    renamed = report.where("status = 'renamed'").select(F.col("was").alias("source_file"), F.col("filename").alias("now"))
+    taken = report.where("status in ('changed', 'new')").select(F.col("filename").alias("source_file"))
+    kept = store.join(taken, "source_file", "left_anti").join(renamed, "source_file", "left")
+    kept = kept.withColumn("source_file", F.coalesce("now", "source_file")).select(*store.columns)
+    fresh = arrived.join(taken, "source_file", "left_semi").select(*store.columns)
+    gone = report.where("status = 'removed'").select("filename")
+    return kept.unionByName(fresh), listing.select("filename", "hash").unionByName(known.join(gone, "filename", "left_semi").select("filename", "hash")), report

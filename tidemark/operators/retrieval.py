@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import written
 
 #: Queries that one pass over the corpus answers; their vectors are what a task holds.
 QUERY_BLOCK = 4096
@@ -21,8 +23,8 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     """(query_key, key, distance, rank): the k nearest rows by cosine distance of each query, ties by key.
 
     The query set goes against all rows in blocks of at most query_block vectors. A task multiplies its batches with the
-    block and hands on k rows per query and batch; a window merges them. Vectors that are null or without length, or of
-    another width than the query's, have no distance and are no result. Keys are bigint."""
+    block, width by width, and hands on k rows per query and batch; a window merges them. Vectors that are null or without
+    length, or of another width than the query's, have no distance and are no result. Keys are bigint."""
     spark = corpus.sparkSession
     q = queries.select(F.col(query_key).cast("bigint").alias(query_key), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
     blocks = max(1, -(-q.count() // query_block))
@@ -35,37 +37,15 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
 
         def near(batches: Iterator[pd.DataFrame], part=part) -> Iterator[pd.DataFrame]:
             ids, vectors = part.value
-            width = max((len(v) for v in vectors), default=0)
-            q = np.array([v if len(v) == width else [0.0] * width for v in vectors], float).reshape(len(ids), width)
-            norm = np.sqrt((q * q).sum(axis=1))
-            ids, q, norm = ids[norm > 0], q[norm > 0], norm[norm > 0]
-            if not len(ids):
-                return
-            best = pd.DataFrame({"row": np.empty(0, np.int64), key: np.empty(0, np.int64), "distance": np.empty(0)})
-            least = np.full(len(ids), -np.inf)  # similarity below which a row is none of the query's k
+            sizes = np.array([len(v) for v in vectors], int)
+            best = {int(w): Nearest(ids[sizes == w], np.array([v for v in vectors if len(v) == w], float), k) for w in set(sizes.tolist()) if w}
             for pdf in batches:
-                pdf = pdf[[len(v) == width for v in pdf["v"]]]
-                if not len(pdf):
-                    continue
-                every, all_keys = np.stack(pdf["v"].to_numpy()), pdf[key].to_numpy(np.int64)
-                for at in range(0, len(every), TILE):
-                    m, keys = every[at : at + TILE], all_keys[at : at + TILE]
-                    n = np.sqrt((m * m).sum(axis=1))
-                    m, n, keys = m[n > 0], n[n > 0], keys[n > 0]
-                    if not len(m):
-                        continue
-                    near_by = (q / norm[:, None]) @ (m / n[:, None]).T
-                    floor = least if len(m) < k else np.maximum(least, np.partition(near_by, len(m) - k, axis=1)[:, len(m) - k]) if np.isinf(least).any() else least
-                    r, c_ = np.nonzero(near_by >= floor[:, None] - SLACK)
-                    if not len(r):
-                        continue
-                    d = np.round(1.0 - np.einsum("ij,ij->i", q[r], m[c_]) / (norm[r] * n[c_]), 12)
-                    best = pd.concat([best, pd.DataFrame({"row": r, key: keys[c_], "distance": d})]).sort_values(["row", "distance", key])
-                    best = best[(best.groupby("row").cumcount() < k).to_numpy()]
-                    full = best.groupby("row").nth(k - 1)
-                    least[full["row"].to_numpy()] = 1.0 - full["distance"].to_numpy()
-            if len(best):
-                yield pd.DataFrame({query_key: ids[best["row"].to_numpy()], key: best[key].to_numpy(), "distance": best["distance"].to_numpy()})
+                widths = pdf["v"].map(len).to_numpy()
+                for w, b in best.items():
+                    if (of := widths == w).any():
+                        b.add(np.stack(pdf["v"].to_numpy()[of]), pdf[key].to_numpy(np.int64)[of])
+            for b in best.values():
+                yield pd.DataFrame({query_key: b.ids[b.best["row"].to_numpy()], key: b.best["key"].to_numpy(), "distance": b.best["distance"].to_numpy()})
 
         one = c.mapInPandas(near, f"{query_key} bigint, {key} bigint, distance double")
         found = one if found is None else found.unionByName(one)
@@ -73,6 +53,36 @@ def vector_topk(corpus: DataFrame, queries: DataFrame, k: int, key: str = "vec_i
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
+class Nearest:
+    """The k nearest rows so far of a block of queries of one width."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
+        norm = np.sqrt((vectors * vectors).sum(axis=1))
+        self.ids, self.q, self.norm, self.k = ids[norm > 0], vectors[norm > 0], norm[norm > 0], k
+        self.best = pd.DataFrame({"row": np.empty(0, np.int64), "key": np.empty(0, np.int64), "distance": np.empty(0)})
+        self.least = np.full(len(self.ids), -np.inf)  # similarity below which a row is none of the query's k
+
+    def add(self, every: np.ndarray, all_keys: np.ndarray) -> None:
+        for at in range(0, len(every) if len(self.ids) else 0, TILE):
+            m, keys = every[at : at + TILE], all_keys[at : at + TILE]
+            n = np.sqrt((m * m).sum(axis=1))
+            m, n, keys = m[n > 0], n[n > 0], keys[n > 0]
+            if not len(m):
+                continue
+            near_by = (self.q / self.norm[:, None]) @ (m / n[:, None]).T
+            floor = self.least
+            if len(m) >= self.k and np.isinf(floor).any():
+                floor = np.maximum(floor, np.partition(near_by, len(m) - self.k, axis=1)[:, len(m) - self.k])
+            r, c = np.nonzero(near_by >= floor[:, None] - SLACK)
+            if not len(r):
+                continue
+            d = np.round(1.0 - np.einsum("ij,ij->i", self.q[r], m[c]) / (self.norm[r] * n[c]), 12)
+            best = pd.concat([self.best, pd.DataFrame({"row": r, "key": keys[c], "distance": d})]).sort_values(["row", "distance", "key"])
+            self.best = best[(best.groupby("row").cumcount() < self.k).to_numpy()]
+            full = self.best.groupby("row").nth(self.k - 1)
+            self.least[full["row"].to_numpy()] = 1.0 - full["distance"].to_numpy()
+
+
 def code_search(corpus: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """(term, chunk_id, document_title, page_number, rank): rows whose text, hyphens closed, contains the term.
 
@@ -93,22 +103,27 @@ def _pieces(col: str, n: int) -> Column:
     return F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(col) - n + 1), lambda i: F.substr(F.col(col), i, F.lit(n)))))
 
 
-def title_hits(corpus: DataFrame, questions: DataFrame, limit: int = 8) -> DataFrame:
-    """(query_id, chunk_id, rank): the first pages of the first title that a question names in full, letter case aside.
+def named_titles(titles: DataFrame, questions: DataFrame) -> DataFrame:
+    """(query_id, document_title): the first title, by the alphabet, that a question names in full, letter case aside.
 
-    corpus has chunk_id, document_title, page_number; questions has query_id and text. A title can only stand where its
-    first twelve characters do (three, if it is shorter), so the distinct titles meet the questions' pieces by equality."""
-    titles = corpus.select("document_title").distinct().withColumn("low", F.lower("document_title")).where(F.length("low") >= 3)
+    titles has document_title; questions has query_id and text. A title can only stand where its first twelve characters do
+    (three, if it is shorter), so the distinct titles meet the questions' pieces by equality."""
+    titles = titles.select("document_title").distinct().withColumn("low", F.lower("document_title")).where(F.length("low") >= 3)
     q = questions.select("query_id", F.lower("text").alias("text"))
     met = None
     for n, kept in ((12, F.length("low") >= 12), (3, F.length("low") < 12)):
-        laid = q.where(F.length("text") >= n).withColumn("piece", _pieces("text", n))
-        one = laid.join(titles.where(kept).withColumn("piece", F.left("low", F.lit(n))), "piece").where(F.contains("text", "low")).select("query_id", "document_title")
+        laid = q.where(F.length("text") >= n).select("query_id", _pieces("text", n).alias("piece"))
+        one = laid.join(titles.where(kept).withColumn("piece", F.left("low", F.lit(n))), "piece").select("query_id", "document_title", "low")
         met = one if met is None else met.unionByName(one)
-    named = met.groupBy("query_id").agg(F.min("document_title").alias("document_title"))
+    return met.join(q, "query_id").where(F.contains("text", "low")).groupBy("query_id").agg(F.min("document_title").alias("document_title"))
+
+
+def title_hits(corpus: DataFrame, questions: DataFrame, limit: int = 8) -> DataFrame:
+    """(query_id, chunk_id, rank): the first pages of the title that a question names (see named_titles). corpus has
+    chunk_id, document_title, page_number."""
     order = Window.partitionBy("document_title").orderBy(F.col("page_number").asc_nulls_last(), "chunk_id")
     first = corpus.select("chunk_id", "document_title", "page_number").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return named.join(first, "document_title").select("query_id", "chunk_id", "rank")
+    return named_titles(corpus, questions).join(first, "document_title").select("query_id", "chunk_id", "rank")
 
 
 def drawing_hits(corpus: DataFrame, words: DataFrame, limit: int = 20) -> DataFrame:
@@ -174,20 +189,29 @@ def page_runs(chunks: DataFrame, max_gap: int = 1) -> DataFrame:
     return p.groupBy("document_title", "run").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"), F.count("*").alias("pages")).where("pages >= 2").drop("run")
 
 
-def tfidf_topk(docs: DataFrame, question: str, k: int, key: str = "doc_id", text: str = "text", features: int = 5000) -> DataFrame:
+def stop_words(language: str = "english") -> list[str]:
+    """The stop words that Spark's own StopWordsRemover ships."""
+    return StopWordsRemover.loadDefaultStopWords(language)
+
+
+def tfidf_topk(docs: DataFrame, question: str, k: int, key: str = "doc_id", text: str = "text", features: int = 5000, without: list[str] | None = None) -> DataFrame:
     """(key, score): the k documents with the largest cosine similarity of TF-IDF vectors to the question.
 
-    Smooth idf ln((1+n)/(1+df))+1 over the ``features`` commonest terms, counts as tf, rows of length one. Only the
-    question's terms are carried past the norms, so no pair of documents ever meets."""
-    terms = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))
-    tf = docs.where(F.col(text).isNotNull()).select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    n = docs.where(F.col(text).isNotNull()).count()
+    Smooth idf ln((1+n)/(1+df))+1 over the ``features`` commonest terms that are no stop words (``without``, else Spark's
+    English list), counts as tf, rows of length one. Term counts are written once; a document keeps its norm and its
+    product with the question, so no pair of documents ever meets."""
+    spark = docs.sparkSession
+    without = stop_words() if without is None else without
+    pattern = F.lit(r"(?U)\b(\w\w+)\b")
+    words = F.filter(F.regexp_extract_all(F.lower(text), pattern, F.lit(1)), lambda w: ~w.isin(*without)) if without else F.regexp_extract_all(F.lower(text), pattern, F.lit(1))
+    known = docs.where(F.col(text).isNotNull())
+    tf = written(known.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")), "term-counts")
+    n = known.count()
     df = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     kept = df.orderBy(F.desc("cf"), "term").limit(features).select("term", (F.log((F.lit(1.0) + n) / (F.col("df") + 1)) + 1).alias("idf"))
-    w = tf.join(F.broadcast(kept), "term").withColumn("w", F.col("tf") * F.col("idf"))  # at most ``features`` rows
-    spark = docs.sparkSession
-    q = spark.createDataFrame([(question,)], "q string").select(F.explode(F.regexp_extract_all(F.lower("q"), F.lit(r"(?U)\b(\w\w+)\b"), F.lit(1))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
-    q = q.join(kept, "term").select("term", (F.col("qtf") * F.col("idf")).alias("qw"))
-    scored = w.join(F.broadcast(q), "term", "left")  # the question's words
-    sums = scored.groupBy(key).agg(F.sum(F.col("w") * F.coalesce("qw", F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    q = spark.createDataFrame([(question,)], "q string").select(F.explode(F.regexp_extract_all(F.lower("q"), pattern, F.lit(1))).alias("term")).groupBy("term").agg(F.count("*").alias("qtf"))
+    # the vocabulary with the question's weights: at most ``features`` rows
+    vocabulary = written(kept.join(q, "term", "left").select("term", "idf", (F.coalesce("qtf", F.lit(0)) * F.col("idf")).alias("qw")), "vocabulary")
+    w = tf.join(F.broadcast(vocabulary), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    sums = w.groupBy(key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return sums.where("dot > 0").select(key, F.round(F.col("dot") / F.col("norm"), 9).alias("score")).orderBy(F.desc("score"), key).limit(k)

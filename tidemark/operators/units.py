@@ -79,8 +79,6 @@ UNITS: dict[str, tuple[str, float, float]] = {
     "long ton": ("mass", LB * 2240, 0.0),
     "lb": ("mass", LB, 0.0),
 }
-#: Runs of digits beyond this are no measured values.
-MOST = 1e12
 COMMON = {"temperature": "°C", "pressure": "kPa", "torque": "N·m", "length": "mm", "flow": "L/min", "power": "kW", "volume": "L", "mass": "kg"}
 # How each unit is written. Letter case counts only where two units differ by it.
 SPELLINGS: dict[str, str] = {
@@ -245,7 +243,7 @@ def number_of(text: str, comma_decimal: bool = False) -> float | None:
         value = (float(t) if t else 0.0) + extra
     except ValueError:
         return None
-    return sign * value if value < MOST else None
+    return sign * value if value < 9e15 else None  # beyond that a double holds no whole number
 
 
 def clean_text(text: str) -> str:
@@ -570,6 +568,6 @@ def nearest(value: Column) -> Column:
 def converted(statements: DataFrame, targets: DataFrame) -> DataFrame:
     """(record_id, quantity, common_value): each distinct value stated in another unit than the common one. targets is
     the table of common units; a quantity that is not in it is left out."""
-    wanted = F.broadcast(targets.select("quantity").distinct().limit(len(COMMON)))  # at most one row per known quantity
+    wanted = F.broadcast(targets.where(F.col("quantity").isin(*COMMON)).select("quantity").distinct())  # at most one row per known quantity
     odd = statements.where("not is_common and unit_from <> 'inferred'").join(wanted, "quantity")
     return odd.select("record_id", "quantity", nearest(F.col("value")).alias("common_value")).distinct()

@@ -99,8 +99,10 @@ def _file_hash(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _hash_sql(name: str) -> str:
     # hex digits to numbers: the position of each digit, by its weight
-    digits = " + ".join(f"cast(strpos('0123456789abcdef', substr(h, {i}, 1)) - 1 as hugeint) * {16 ** (12 - i)}" for i in range(1, 13))
-    return f"select source_file as filename, cast(sum({digits}) as varchar) || '-' || count(*) as hash from (select distinct source_file, chunk_id, text, sha256(text) as h from {name} where length(trim(text)) > 0) group by 1"
+    def number(at: int) -> str:
+        return " + ".join(f"cast(strpos('0123456789abcdef', substr(h, {at + i}, 1)) - 1 as hugeint) * {16 ** (15 - i)}" for i in range(16))
+
+    return f"select source_file as filename, cast(sum({number(1)}) as varchar) || '.' || cast(sum({number(17)}) as varchar) || '-' || count(*) as hash from (select distinct source_file, chunk_id, text, sha256(text) as h from {name} where length(trim(text)) > 0) group by 1"
 
 
 def q_manifest_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,6 +226,62 @@ select s.system, covered, gaps, cast(round_even(100.0 * covered / (covered + gap
 """
 
 
+def q_gap_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return library.gap_totals(_report(spark, sf_dir))
+
+
+GAP_TOTALS_SQL = f"""
+with g as ({GAP_SQL}), c as (select coalesce(system, 'Unknown') as system, count(*) as items, count(*) filter (status = 'covered') as covered, count(*) filter (status = 'gap') as gaps, count(*) filter (status = 'unknown') as unknown from g group by 1)
+select * from c union all select 'Total', cast(sum(items) as bigint), cast(sum(covered) as bigint), cast(sum(gaps) as bigint), cast(sum(unknown) as bigint) from c having count(*) > 0
+"""
+
+
+def q_equipment_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of equipment was seen besides the row that is kept of it."""
+    return library.item_sources(table(spark, sf_dir, "vessel_equipment"))
+
+
+EQUIPMENT_SOURCES_SQL = f"""
+with t as (select *, {norm("manufacturer")} as m, {norm("model")} as n from vessel_equipment),
+k as (select *, case when length(n) >= 3 then concat_ws('|', m, n) else concat_ws('|', '?', coalesce(source_document, ''), coalesce(category, '')) end as item_key from t),
+f as (select item_key, min(id) as kept from k group by 1)
+select k.item_key, source_document, min(id) as first_id, count(*) as mentions, min(id) = any_value(kept) as is_first from k join f on k.item_key = f.item_key where source_document is not null group by 1, 2
+"""
+
+
+def q_image_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = library.image_backlog(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "tm_chunks"))
+    return d.groupBy("status").agg(F.count("*").alias("files"), F.min("source_file").alias("first_file"))
+
+
+IMAGE_BACKLOG_SQL = """
+with s as (select source_file, count(page_image_url) as images from tm_chunks group by 1), l as (select distinct source_file from chunks),
+b as (select l.source_file, case when images is null then 'not indexed' when images > 0 then 'has images' else 'open' end as status from l left join s on l.source_file = s.source_file)
+select status, count(*) as files, min(source_file) as first_file from b group by 1
+"""
+
+
+def q_incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backup's files read into the store with their hashes as manifest: rows of the store by what became of their file."""
+    store = table(spark, sf_dir, "tm_chunks").select("chunk_id", "source_file", "text")
+    arrived = table(spark, sf_dir, "chunks").where(F.length(F.trim("text")) > 0).select("chunk_id", "source_file", "text").distinct()
+    after, _, report = merging.ingest(store, _file_hash(spark, sf_dir, "tm_chunks"), _file_hash(spark, sf_dir, "chunks"), arrived)
+    j = after.join(report, after["source_file"] == report["filename"], "left")
+    return j.groupBy("status").agg(F.count("*").alias("rows"), F.count_distinct("source_file").alias("files"), F.sum(F.length("text")).alias("characters"))
+
+
+INGEST_SQL = f"""
+with l as ({_hash_sql("chunks")}), k as ({_hash_sql("tm_chunks")}),
+g as (select k.hash, max(k.filename) as was from k left join l on k.filename = l.filename where l.filename is null group by 1),
+n as (select l.filename, case when k.filename is not null and l.hash = k.hash then 'unchanged' when k.filename is not null then 'changed' when g.was is not null then 'renamed' else 'new' end as status, g.was
+      from l left join k on l.filename = k.filename left join g on g.hash = l.hash and k.filename is null),
+r as (select filename, status, was from n union all select k.filename, 'removed', null from k left join l on k.filename = l.filename where l.filename is null and k.filename not in (select was from n where status = 'renamed')),
+a as (select t.chunk_id, coalesce(m.filename, t.source_file) as source_file, text from tm_chunks t left join r m on m.status = 'renamed' and m.was = t.source_file where t.source_file not in (select filename from r where status in ('changed', 'new'))
+      union all select distinct chunk_id, source_file, text from chunks where length(trim(text)) > 0 and source_file in (select filename from r where status in ('changed', 'new')))
+select status, count(*) as rows, count(distinct a.source_file) as files, cast(sum(length(text)) as bigint) as characters from a left join r on a.source_file = r.filename group by 1
+"""
+
+
 def q_image_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page images given to the rows of the page that have none."""
     t = table(spark, sf_dir, "tm_chunks").select("chunk_id", "source_file", "page_number", "page_image_url")
@@ -245,5 +303,5 @@ with v as (select vessel, unnest(map_entries(specs)) as e from vessel_equipment
 select e.key as key, count(*) as uses, count(distinct vessel) as vessels, cast(max(length(e.value)) as bigint) as longest from v group by 1
 """
 
-QUERIES = {f.__name__: f for f in (q_library_documents, q_library_panel, q_library_filter, q_document_classes, q_inventory_lines, q_dup_sizes, q_dup_hash, q_manifest_diff, q_same_content, q_manifest_audit, q_chunk_merge, q_delete_reprocess, q_registry_merge, q_equipment_dedupe, q_gap_report, q_gap_summary, q_image_fill, q_spec_values)}
-ORACLE_SQL = {"q_library_documents": LIBRARY_DOCUMENTS_SQL, "q_library_panel": LIBRARY_PANEL_SQL, "q_library_filter": LIBRARY_FILTER_SQL, "q_document_classes": DOCUMENT_CLASSES_SQL, "q_inventory_lines": INVENTORY_SQL, "q_dup_sizes": DUP_SIZES_SQL, "q_dup_hash": DUP_HASH_SQL, "q_manifest_diff": MANIFEST_DIFF_SQL, "q_same_content": SAME_CONTENT_SQL, "q_manifest_audit": MANIFEST_AUDIT_SQL, "q_chunk_merge": CHUNK_MERGE_SQL, "q_delete_reprocess": DELETE_SQL, "q_registry_merge": REGISTRY_SQL, "q_equipment_dedupe": EQUIPMENT_DEDUPE_SQL, "q_gap_report": GAP_SQL, "q_gap_summary": GAP_SUMMARY_SQL, "q_image_fill": IMAGE_FILL_SQL, "q_spec_values": SPEC_VALUES_SQL}
+QUERIES = {f.__name__: f for f in (q_library_documents, q_library_panel, q_library_filter, q_document_classes, q_inventory_lines, q_dup_sizes, q_dup_hash, q_manifest_diff, q_same_content, q_manifest_audit, q_chunk_merge, q_delete_reprocess, q_registry_merge, q_equipment_dedupe, q_gap_report, q_gap_summary, q_gap_totals, q_equipment_sources, q_image_backlog, q_incremental_ingest, q_image_fill, q_spec_values)}
+ORACLE_SQL = {"q_library_documents": LIBRARY_DOCUMENTS_SQL, "q_library_panel": LIBRARY_PANEL_SQL, "q_library_filter": LIBRARY_FILTER_SQL, "q_document_classes": DOCUMENT_CLASSES_SQL, "q_inventory_lines": INVENTORY_SQL, "q_dup_sizes": DUP_SIZES_SQL, "q_dup_hash": DUP_HASH_SQL, "q_manifest_diff": MANIFEST_DIFF_SQL, "q_same_content": SAME_CONTENT_SQL, "q_manifest_audit": MANIFEST_AUDIT_SQL, "q_chunk_merge": CHUNK_MERGE_SQL, "q_delete_reprocess": DELETE_SQL, "q_registry_merge": REGISTRY_SQL, "q_equipment_dedupe": EQUIPMENT_DEDUPE_SQL, "q_gap_report": GAP_SQL, "q_gap_summary": GAP_SUMMARY_SQL, "q_gap_totals": GAP_TOTALS_SQL, "q_equipment_sources": EQUIPMENT_SOURCES_SQL, "q_image_backlog": IMAGE_BACKLOG_SQL, "q_incremental_ingest": INGEST_SQL, "q_image_fill": IMAGE_FILL_SQL, "q_spec_values": SPEC_VALUES_SQL}

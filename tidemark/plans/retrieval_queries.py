@@ -31,7 +31,7 @@ select query_id, vec_id, rank, round(d, 6) + 0.0 as distance from r where rank <
 
 
 def q_zero_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance of every chunk to the mean direction of its title; chunks without a direction get none."""
+    """Mean distance of the chunks of each type to the first axis; chunks without a direction get none."""
     t = table(spark, sf_dir, "tm_chunks").select("chunk_id", "document_type", "embedding")
     first = F.array(*[F.lit(1.0) if i == 0 else F.lit(0.0) for i in range(8)])
     d = t.withColumn("d", tx.cosine_distance(F.col("embedding"), first))
@@ -95,8 +95,11 @@ select * from (select *, row_number() over (partition by term order by document_
 """
 
 # What makes a question one about shutting something off, and words that say nothing about what.
-TRIGGER = r"(?i)\b(isolat\w*|lock(?:ed)?[ -]?out|tag(?:ged)?[ -]?out|shut[ -]?off|de-?energi[sz]e)\b"
-GENERIC = ("isolate", "isolation", "isolating", "with", "from", "that", "this", "what", "which", "where", "when", "have", "does", "need", "unit", "show", "drawing", "drawings", "valve", "valves", "system", "there", "should", "before", "after", "into", "about", "lock", "locked")
+TRIGGER = r"(?i)\b(isolat\w*|lock\s*out|lockout|tag\s*out|tagout|LOTO|shut\s+(off|down)|de-?energi\w*|depressuriz\w*|disconnect\w*)\b"
+GENERIC = tuple("""what which would should could need needs needed work working system systems engine engines pump pumps valve
+valves with this that these those isolate isolated isolation before while there their""".split())
+# Titles of drawings that list equipment.
+DRAWING_TITLE = r"(?i)^GeneralArrangement - |MachineryArrangement|EquipmentArrgt"
 DRAWINGS = ("General Arrangement Drawing", "Wiring Diagram")
 
 
@@ -276,6 +279,36 @@ def q_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.tfidf_topk(table(spark, sf_dir, "documents").select("doc_id", "text"), QUESTION, 10)
 
 
+def q_show_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages, and the panel's question for every document's title, that ask to be shown a document: the title each of
+    them names, with how many do."""
+    m = table(spark, sf_dir, "messages").where("content is not null").groupBy("id").agg(F.min("content").alias("text"))
+    panel = table(spark, sf_dir, "documents").where("document_title is not null").select((-F.col("doc_id") - 1).alias("query_id"), F.concat(F.lit("Can I see the "), "document_title", F.lit("?")).alias("text"))
+    asked = m.select(F.col("id").alias("query_id"), "text").unionByName(panel)
+    named = retrieval.named_titles(table(spark, sf_dir, "tm_chunks"), asked.where(F.col("text").rlike(SHOW)))
+    return named.groupBy("document_title").agg(F.count("*").alias("questions"), F.min("query_id").alias("first_id"))
+
+
+SHOW_REQUESTS_SQL = rf"""
+with a as (select id as q, min(content) as x from messages where content is not null group by 1 union all select -doc_id - 1, 'Can I see the ' || document_title || '?' from documents where document_title is not null),
+n as (select q, min(t.document_title) as document_title from a join (select distinct document_title from tm_chunks where length(document_title) >= 3) t on contains(lower(a.x), lower(t.document_title)) where regexp_matches(a.x, '{SHOW}') group by 1)
+select document_title, count(*) as questions, min(q) as first_id from n group by 1
+"""
+
+
+def q_drawing_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of drawings that list equipment, as they would be written without spaces round the words."""
+    t = table(spark, sf_dir, "tm_chunks").select("document_title", "document_type").distinct()
+    t = t.withColumn("full_title", F.concat(F.replace("document_type", F.lit(" Drawing"), F.lit("")), F.lit(" - "), "document_title")).withColumn("full_title", F.regexp_replace("full_title", "General Arrangement", "GeneralArrangement"))
+    return t.where(F.col("full_title").rlike(DRAWING_TITLE)).select("full_title")
+
+
+DRAWING_TITLES_SQL = rf"""
+with t as (select distinct document_title, document_type from tm_chunks), f as (select replace(replace(document_type, ' Drawing', '') || ' - ' || document_title, 'General Arrangement', 'GeneralArrangement') as full_title from t)
+select full_title from f where regexp_matches(full_title, '{DRAWING_TITLE}')
+"""
+
+
 def q_inspect_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = table(spark, sf_dir, "tm_chunks")
     return t.where(F.col("document_title").ilike("%steering%parts list%")).select("chunk_id", "page_number", F.length("text").cast("bigint").alias("characters"))
@@ -283,7 +316,7 @@ def q_inspect_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 INSPECT_SQL = "select chunk_id, page_number, cast(length(text) as bigint) as characters from tm_chunks where document_title ilike '%steering%parts list%'"
 
-QUERIES = {f.__name__: f for f in (q_vector_topk, q_zero_vectors, q_title_lookup, q_title_first_pages, q_code_terms, q_code_search, q_drawing_keywords, q_hybrid_search, q_stored_hits, q_format_sources, q_page_runs, q_dedupe_fingerprint, q_tfidf_topk, q_inspect_page)}
+QUERIES = {f.__name__: f for f in (q_vector_topk, q_zero_vectors, q_title_lookup, q_title_first_pages, q_code_terms, q_code_search, q_drawing_keywords, q_hybrid_search, q_stored_hits, q_format_sources, q_page_runs, q_dedupe_fingerprint, q_tfidf_topk, q_show_requests, q_drawing_titles, q_inspect_page)}
 ORACLE_SQL = {
     "q_vector_topk": VECTOR_TOPK_SQL,
     "q_zero_vectors": ZERO_VECTORS_SQL,
@@ -297,5 +330,7 @@ ORACLE_SQL = {
     "q_format_sources": FORMAT_SOURCES_SQL,
     "q_page_runs": PAGE_RUNS_SQL,
     "q_dedupe_fingerprint": DEDUPE_SQL,
+    "q_show_requests": SHOW_REQUESTS_SQL,
+    "q_drawing_titles": DRAWING_TITLES_SQL,
     "q_inspect_page": INSPECT_SQL,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import answers
 from ..functions import text as tx
 from ..operators import chunking
 from ..operators.numbering import numbered
@@ -90,7 +91,7 @@ def q_detect_section(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SECTION_SQL = rf"""
-with t as (select chunk_id, regexp_extract_all(text, '(?m)^(\d+(?:\.\d+)*)[ \t]+([A-Z][A-Za-z][^\n]{{2,60}})$', 1) as n, regexp_extract_all(text, '(?m)^(\d+(?:\.\d+)*)[ \t]+([A-Z][A-Za-z][^\n]{{2,60}})$', 2) as h from tm_chunks)
+with t as (select chunk_id, regexp_extract_all(text, '{tx.HEADING}', 1) as n, regexp_extract_all(text, '{tx.HEADING}', 2) as h from tm_chunks)
 select chunk_id, n[-1] || ' ' || {_strip('h[-1]')} as section from t where len(n) > 0
 """
 
@@ -174,18 +175,65 @@ select batch, count(*) as rows, min(doc_id) as first_id, max(doc_id) as last_id,
 
 
 def q_greedy_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    b = chunking.greedy_batches(d, "doc_id", F.coalesce(F.length("text"), F.lit(0)), (F.col("doc_id") / 5000).cast("bigint"))
-    return b.groupBy("block", "batch").agg(F.count("*").alias("items"), F.sum("size").alias("characters"), F.min("doc_id").alias("first_id"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    b = chunking.greedy_batches(d, "doc_id", "size")
+    return b.groupBy("batch").agg(F.count("*").alias("items"), F.sum("size").alias("characters"), F.min("doc_id").alias("first_id"))
 
 
 GREEDY_SQL = """
-with recursive d as (select doc_id // 5000 as block, coalesce(length(text), 0) as size, doc_id, row_number() over (partition by doc_id // 5000 order by doc_id) as i from documents),
-f as (select block, i, doc_id, size, 0 as batch, size as used, 1 as n from d where i = 1
-  union all select d.block, d.i, d.doc_id, d.size, case when f.n >= 1000 or f.used + d.size > 250000 then f.batch + 1 else f.batch end,
+with recursive d as materialized (select coalesce(length(text), 0) as size, doc_id, row_number() over (order by doc_id) as i from documents),
+f as (select i, doc_id, size, 0 as batch, size as used, 1 as n from d where i = 1
+  union all select d.i, d.doc_id, d.size, case when f.n >= 1000 or f.used + d.size > 250000 then f.batch + 1 else f.batch end,
   case when f.n >= 1000 or f.used + d.size > 250000 then d.size else f.used + d.size end, case when f.n >= 1000 or f.used + d.size > 250000 then 1 else f.n + 1 end
-  from f join d on d.block = f.block and d.i = f.i + 1)
-select block, batch, count(*) as items, cast(sum(size) as bigint) as characters, min(doc_id) as first_id from f group by 1, 2
+  from f join d on d.i = f.i + 1)
+select cast(batch as bigint) as batch, count(*) as items, cast(sum(size) as bigint) as characters, min(doc_id) as first_id from f group by 1
+"""
+
+
+def q_dense_table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that long tables give besides their page: six rows each, with the head repeated."""
+    t = table(spark, sf_dir, "tm_chunks").select("chunk_id", "text", "page_number")
+    return chunking.dense_chunks(chunking.markdown_tables(t), t).select("chunk_id", "table_no", F.col("first_row").cast("bigint").alias("first_row"), "text")
+
+
+DENSE_CHUNKS_SQL = rf"""
+with {{rows}},
+h as (select chunk_id, table_no, '| ' || array_to_string(cells, ' | ') || ' |' || chr(10) || '|' || array_to_string(list_transform(cells, lambda c: '---'), '|') || '|' as head from c where row_no = 0),
+cnt as (select chunk_id, table_no, max(row_no) as rows from c group by 1, 2 having max(row_no) > 6),
+g as (select chunk_id, table_no, (row_no - 1) // 6 as g, string_agg('| ' || array_to_string(cells, ' | ') || ' |', chr(10) order by row_no) as body, min(row_no) as a, max(row_no) as b from c where row_no > 0 group by 1, 2, 3)
+select g.chunk_id, cast(g.table_no as int) as table_no, cast(a as bigint) as first_row, '(Table ' || g.table_no || ' on page ' || p.page_number || ', rows ' || a || '-' || b || ' of ' || rows || ')' || chr(10) || chr(10) || head || chr(10) || body as text
+from g join cnt on g.chunk_id = cnt.chunk_id and g.table_no = cnt.table_no join h on g.chunk_id = h.chunk_id and g.table_no = h.table_no join tm_chunks p on p.chunk_id = g.chunk_id
+""".replace("{{rows}}", MARKDOWN_SQL.split("select chunk_id, cast(table_no as int)")[0].strip().removeprefix("with ")).replace("{rows}", MARKDOWN_SQL.split("select chunk_id, cast(table_no as int)")[0].strip().removeprefix("with "))
+
+
+def q_transcribed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with too little real text get what the backup has for them as a transcription: on the page's primary chunk,
+    while the parts of its tables go."""
+    t = table(spark, sf_dir, "tm_chunks").select("chunk_id", "source_file", "page_number", "text")
+    pages = chunking.vision_candidates(t)
+    told = table(spark, sf_dir, "chunks").groupBy("source_file", "page_number").agg(F.max("text").alias("text"))
+    told = told.join(pages, ["source_file", "page_number"], "left_semi").select("source_file", "page_number", answers.transcript(F.col("text")).alias("transcript"))
+    done = chunking.with_transcripts(t, told)
+    return done.where(F.col("text").startswith(answers.TRANSCRIBED)).select("chunk_id", F.length("text").cast("bigint").alias("characters"))
+
+
+TRANSCRIBED_SQL = f"""
+with v as ({VISION_SQL}),
+told as (select c.source_file, c.page_number, {_strip('max(c.text)')} as s from chunks c join v on v.source_file = c.source_file and v.page_number = c.page_number group by 1, 2),
+p as (select source_file, page_number, arg_min(chunk_id, (case when regexp_matches(chunk_id, '-densetable\\d+$') then '1' else '0' end) || chunk_id) as chunk_id from tm_chunks group by 1, 2)
+select p.chunk_id, length('{answers.TRANSCRIBED}') + 2 + length(s) as characters from p join told on p.source_file = told.source_file and p.page_number = told.page_number where s <> '' and s <> '{answers.NO_TEXT}'
+"""
+
+
+def q_document_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page texts of each drawing, put together in order, at most twenty pages a part."""
+    t = table(spark, sf_dir, "tm_chunks").where(F.col("source_file").contains("_DWG_")).select("source_file", "page_number", "chunk_id", "text")
+    return chunking.document_parts(t).select("source_file", "part", F.length("text").cast("bigint").alias("characters"), F.left("text", F.lit(40)).alias("head"))
+
+
+DOCUMENT_PARTS_SQL = """
+with p as (select source_file, (page_number - 1) // 20 as part, string_agg('--- Page ' || page_number || ' ---' || chr(10) || text, chr(10) || chr(10) order by page_number, chunk_id) as text from tm_chunks where contains(source_file, '_DWG_') group by 1, 2)
+select source_file, cast(part as bigint) as part, cast(length(text) as bigint) as characters, left(text, 40) as head from p
 """
 
 
@@ -220,5 +268,5 @@ with v as (select chunk_id, 'psi' as unit, unnest(regexp_extract_all(text, '(?i)
 select chunk_id, unit, count(*) as values, round(max(round(case when unit = 'psi' then cast(n as double) * {PSI_KPA} else (cast(n as double) - 32) * 5 / 9 end, 6)), 3) as highest from v group by 1, 2
 """
 
-QUERIES = {f.__name__: f for f in (q_bigram_rate, q_real_language, q_meaningful_length, q_nav_pages, q_cover_pages, q_vision_candidates, q_detect_section, q_markdown_tables, q_dense_table_split, q_chunk_ids, q_filename_parse, q_image_pages, q_write_batches, q_greedy_batches, q_garbled_audit, q_unit_numbers)}
-ORACLE_SQL = {"q_bigram_rate": BIGRAM_SQL, "q_real_language": REAL_LANGUAGE_SQL, "q_meaningful_length": MEANINGFUL_SQL, "q_nav_pages": NAV_SQL, "q_cover_pages": COVER_SQL, "q_vision_candidates": VISION_SQL, "q_detect_section": SECTION_SQL, "q_markdown_tables": MARKDOWN_SQL, "q_dense_table_split": DENSE_SQL, "q_chunk_ids": CHUNK_IDS_SQL, "q_filename_parse": FILENAME_SQL, "q_image_pages": IMAGE_PAGES_SQL, "q_write_batches": WRITE_BATCHES_SQL, "q_greedy_batches": GREEDY_SQL, "q_garbled_audit": GARBLED_SQL, "q_unit_numbers": UNIT_NUMBERS_SQL}
+QUERIES = {f.__name__: f for f in (q_bigram_rate, q_real_language, q_meaningful_length, q_nav_pages, q_cover_pages, q_vision_candidates, q_detect_section, q_markdown_tables, q_dense_table_split, q_chunk_ids, q_filename_parse, q_image_pages, q_write_batches, q_greedy_batches, q_dense_table_chunks, q_transcribed_pages, q_document_parts, q_garbled_audit, q_unit_numbers)}
+ORACLE_SQL = {"q_bigram_rate": BIGRAM_SQL, "q_real_language": REAL_LANGUAGE_SQL, "q_meaningful_length": MEANINGFUL_SQL, "q_nav_pages": NAV_SQL, "q_cover_pages": COVER_SQL, "q_vision_candidates": VISION_SQL, "q_detect_section": SECTION_SQL, "q_markdown_tables": MARKDOWN_SQL, "q_dense_table_split": DENSE_SQL, "q_chunk_ids": CHUNK_IDS_SQL, "q_filename_parse": FILENAME_SQL, "q_image_pages": IMAGE_PAGES_SQL, "q_write_batches": WRITE_BATCHES_SQL, "q_greedy_batches": GREEDY_SQL, "q_dense_table_chunks": DENSE_CHUNKS_SQL, "q_transcribed_pages": TRANSCRIBED_SQL, "q_document_parts": DOCUMENT_PARTS_SQL, "q_garbled_audit": GARBLED_SQL, "q_unit_numbers": UNIT_NUMBERS_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
+
 # Columns of the stored relations.
 SCHEMAS = {
     "tm_chunks": "chunk_id string, text string, embedding array<float>, document_title string, revision string, page_number int, total_pages int, equipment_model string, document_type string, source_file string, page_image_url string",
@@ -37,3 +39,11 @@ def reprocessed(store: DataFrame, backup: DataFrame, names: DataFrame) -> tuple[
     counts = store.join(n, "source_file", "left_semi").groupBy("source_file").agg(F.count("*").alias("rows"))
     report = n.join(counts, "source_file", "left").select("source_file", F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows").isNull(), "unknown").otherwise("removed").alias("status"))
     return store.join(n, "source_file", "left_anti"), backup.join(n, "source_file", "left_anti"), report
+
+
+def appended(store: DataFrame, new: DataFrame, order: list[str], as_json: list[str]) -> DataFrame:
+    """The rows to append: new with the ids behind the store's highest, in ``order``, and the given columns as JSON; what is
+    null stays null. new must not have the column id."""
+    highest = store.agg(F.coalesce(F.max("id"), F.lit(0)).alias("highest"))  # one row
+    rows = numbered(new, order, "_no").join(F.broadcast(highest))
+    return rows.select((F.col("highest") + F.col("_no")).alias("id"), *[F.to_json(c).alias(c) if c in as_json else F.col(c) for c in new.columns])

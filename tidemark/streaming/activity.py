@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.merging import upsert
-from ..session import shared_dir
+from ..session import run_folder
 
 
 def windowed_counts(spark: SparkSession, path: str, schema, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """(window_start, event_type, n, total): tumbling counts of a Parquet stream, run to its end; late rows beyond the
     watermark are dropped, as the stream's definition says, which one batch of files never meets."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
     parent, name = path.rsplit("/", 1)
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if not name.endswith(".parquet") else f"{parent}/{name}*")
     counts = (
