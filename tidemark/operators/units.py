@@ -198,9 +198,10 @@ _JOIN = re.compile(r"(?<=[a-z])(?:[-‐\xad¬])[ \t]*\n(?=[a-z])")
 _SPEED = re.compile(r"(?<![\w.,/-])(" + _NUMBER.pattern + r")[\s\xa0]{0,2}(?:rpm|r\.p\.m\.|r/min|rev/min|revs?\.? per minute|min⁻¹)(?!\w)", re.I)
 _SPEED_HINT = re.compile(r"rpm|r\.p\.m|r/min|rev|min⁻¹", re.I)
 _RANGE = re.compile(r"^[\s\xa0]*(?:-|–|—|to|up to|and|bis|hasta|til|a|y|und|og)[\s\xa0]*(?:up to[\s\xa0]+)?[\s\xa0]*$")
-_HEAD = re.compile(r"^[^\n|]*?(?:[\[(](?:[\w ]+:\s*)?(?P<a>[^\[\]()\n]{1,22})[\])]|\b(?:values?|figures?|readings?|[\w ]+ in this block)\s+(?:are|is)\s+(?:given\s+)?in\s+(?P<b>[^\n]{1,22}?))\.?[ \t]*$", re.M)
+_LONGEST = max(len(f) for forms in SPELLINGS.values() for f in forms.split("|"))
+_HEAD = re.compile(rf"^[^\n|]*?(?:[\[(](?:[\w ]+:\s*)?(?P<a>[^\[\]()\n]{{1,{_LONGEST}}})[\])]|\b(?:are|is)\s+(?:given\s+|stated\s+)?in\s+(?P<b>[^\n]{{1,{_LONGEST}}}?))\.?[ \t]*$", re.M)
 # what a heading must have, looked for first because it is quick
-_HEAD_HINT, _HEAD_WORDS, _DIGIT = re.compile(r"[\])]\.?[ \t]*$", re.M), ("value", "figure", "reading", "this block"), re.compile(r"\d")
+_HEAD_HINT, _HEAD_WORDS, _DIGIT = re.compile(r"[\])]\.?[ \t]*$", re.M), ("are in ", "is in ", "given in ", "stated in "), re.compile(r"\d")
 _ENTRY = re.compile(r"^\s*[^\d\n|:]{2,48}?(?:\s*:\s*|[ .…]{2,}|\s)([-−]?\d[\d.,\xa0½¼¾/ ]*)[ \t]*$")
 _NOTE = re.compile(r"\b(?:all\s+)?(temperature|pressure|torque|length|flow|power|volume|weight|mass)s?(?:\s+values)?(?:\s*:\s*|\s+(?:are\s+given\s+|are\s+|given\s+)?in\s+)([^\s,;]+(?:\s(?:gal|gpm|tons|m)\b)?)", re.I)
 
@@ -300,7 +301,7 @@ def text_statements(text: str | None) -> list[tuple[str, float, int, str]]:
         if not same:
             group += 1
         out.append((unit, value * sign, group, "number"))
-        if before and not before[3] and len(gap) <= 14 and _RANGE.match(gap):
+        if before and not before[3] and _RANGE.match(gap):
             low = number_of(before[1])
             if low is not None:
                 out.append((unit, low * before[2], -group, "number"))
