@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def earliest(*columns: str) -> Column:
+    """What orders the stored copies of one message: time, nulls last, then content. The first is the one that counts."""
+    return F.struct(F.col("created_at").isNull(), "created_at", "content", *columns)
+
+
 def turns(messages: DataFrame) -> DataFrame:
-    """(id, conversation_id, user_name, role, content, created_at, feedback) of user and assistant rows, one per id."""
+    """(id, conversation_id, user_name, role, content, created_at, feedback) of user and assistant rows, one per id, its
+    earliest copy."""
     cid = F.lower(F.regexp_replace("conversation_id", r"[{}\s]", ""))
     role = F.lower(F.trim("role"))
     t = messages.where(role.isin("user", "assistant")).select("id", cid.alias("conversation_id"), "user_name", role.alias("role"), "content", "created_at", "feedback")
-    return t.dropDuplicates(["id"])
+    rest = [c for c in t.columns if c != "id"]
+    return t.groupBy("id").agg(F.min_by(F.struct(*rest), earliest("role", "feedback", "conversation_id")).alias("m")).select("id", "m.*")
 
 
 def _order() -> list[Column]:
@@ -37,13 +44,14 @@ def last_pairs(t: DataFrame, n: int = 3) -> DataFrame:
 
 def preceding_question(t: DataFrame, missing: str = "(no question found)") -> DataFrame:
     """(answer_id, feedback, question): for each rated answer the last user message strictly before it in time; ties by
-    the higher id. As-of by value range, so equal times do not count as before."""
-    at = F.unix_micros(F.col("created_at").cast("timestamp"))
-    x = t.where("created_at is not null").withColumn("t", at)
+    the higher id. As-of by value range, so equal times do not count as before. Only ids and times are sorted; the texts of
+    the questions that are found are joined behind."""
+    x = t.where("created_at is not null").select("conversation_id", "id", "role", "feedback", F.unix_micros(F.col("created_at").cast("timestamp")).alias("t"))
     w = Window.partitionBy("conversation_id").orderBy("t").rangeBetween(Window.unboundedPreceding, -1)
-    said = F.max(F.when(F.col("role") == "user", F.struct("t", "id", "content"))).over(w)
-    x = x.withColumn("q", said).where("role = 'assistant' and feedback is not null")
-    return x.select(F.col("id").alias("answer_id"), "feedback", F.coalesce("q.content", F.lit(missing)).alias("question"))
+    said = F.max(F.when(F.col("role") == "user", F.struct("t", "id"))).over(w)
+    x = x.withColumn("q", said).where("role = 'assistant' and feedback is not null").select(F.col("id").alias("answer_id"), "feedback", F.col("q.id").alias("q_id"))
+    texts = t.where("role = 'user'").select(F.col("id").alias("q_id"), "content")
+    return x.join(texts, "q_id", "left").select("answer_id", "feedback", F.coalesce("content", F.lit(missing)).alias("question"))
 
 
 def first_questions(t: DataFrame) -> DataFrame:

@@ -118,7 +118,7 @@ USER_SQL = f"with {TURNS_SQL} select user_name, count(*) as messages, count(dist
 
 def q_resolve_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes that answers name, resolved by id; ids without a note are left out."""
-    m = table(spark, sf_dir, "messages").where("field_notes_used is not null").groupBy("id").agg(F.first("field_notes_used").alias("used"))
+    m = table(spark, sf_dir, "messages").where("field_notes_used is not null").groupBy("id").agg(F.min_by("field_notes_used", history.earliest()).alias("used"))
     n = table(spark, sf_dir, "engineer_notes").select(F.col("id").alias("note_id"), "author", F.date_format("created_at", "MMM dd, yyyy").alias("noted_on"))
     used = m.select(F.col("id").alias("message_id"), F.explode("used.id").alias("note_id")).distinct()
     return used.join(n, "note_id").select("message_id", "note_id", "author", "noted_on")
@@ -147,7 +147,7 @@ select id, '[' || id || '] ' || coalesce(category, '') || coalesce(' (' || posit
 
 def q_shown_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of each answer, each address once, at most five, with how many more there are."""
-    m = table(spark, sf_dir, "messages").where("show_document_images is not null").groupBy("id").agg(F.first("show_document_images").alias("i"))
+    m = table(spark, sf_dir, "messages").where("show_document_images is not null").groupBy("id").agg(F.min_by("show_document_images", history.earliest()).alias("i"))
     urls = F.array_distinct(F.transform("i", lambda x: x["url"]))
     return m.select(F.col("id").alias("message_id"), F.array_join(F.slice(urls, 1, 5), " ").alias("shown"), F.greatest(F.size(urls) - 5, F.lit(0)).cast("bigint").alias("more"))
 
@@ -165,7 +165,7 @@ def q_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Assembled prompt of each answered question: excerpts with their numbers, then question; lengths beside it."""
     t = _turns(spark, sf_dir)
     p = history.pairs(t)
-    m = table(spark, sf_dir, "messages").where("chunks is not null").groupBy("id").agg(F.first("chunks").alias("chunks"))
+    m = table(spark, sf_dir, "messages").where("chunks is not null").groupBy("id").agg(F.min_by("chunks", history.earliest()).alias("chunks"))
     part = F.transform("chunks", lambda c, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), c["metadata"]["document_title"], F.lit(", p. "), c["metadata"]["page_number"].cast("string"), F.lit("\n"), c["text"]))
     e = m.select(F.col("id").alias("answer_id"), F.array_join(part, "\n\n").alias("excerpts"))
     q = t.select(F.col("id").alias("question_id"), F.col("content").alias("question"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import retrieval
+from ..operators import history, retrieval
 from ..operators.numbering import numbered
 from ..session import table, written
 
@@ -128,7 +128,7 @@ select * from (select *, row_number() over (partition by keyword order by docume
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = table(spark, sf_dir, "messages").where("chunks is not null").select("id", "chunks").groupBy("id").agg(F.first("chunks").alias("chunks"))
+    m = table(spark, sf_dir, "messages").where("chunks is not null").groupBy("id").agg(F.min_by("chunks", history.earliest()).alias("chunks"))
     h = m.select("id", F.posexplode("chunks").alias("pos", "c"))
     return h.select("id", "pos", F.col("c.metadata.document_title").alias("document_title"), F.col("c.metadata.page_number").alias("page_number"), F.col("c.text").alias("text"), F.col("c.distance").alias("distance"), F.col("c.metadata.revision").alias("revision"), F.col("c.metadata.total_pages").alias("total_pages"))
 
